@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,7 +50,11 @@ def top_by_group(df: DataFrame, group: list[str], order: list[Column], n: int) -
     Spark cuts each partition to its own first ``n`` rows per group before the shuffle, so a
     group that holds most rows does not meet in one task.
     """
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def clamp_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Text cells as non-negative numbers: what is no number, or below 0, becomes 0."""
+    clean = {c: F.greatest(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)), F.lit(0.0)) for c in columns}
+    return df.withColumns(clean)
