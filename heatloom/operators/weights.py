@@ -93,3 +93,13 @@ def cosine_pairs(weights: DataFrame, pairs: DataFrame, score: str = "tfidf") ->
         .join(sides[0], "left_id").join(sides[1], "right_id")
         .select("left_id", "right_id", cosine.alias("cosine"))
     )
+
+
+def listed_idf(docs: DataFrame, terms: list[str], words: str = "words") -> DataFrame:
+    """``(term, df, idf)`` of given terms; only these leave the scan, absent ones have df 0."""
+    n_docs = docs.count()
+    listed = F.array(*[F.lit(term) for term in terms])
+    found = document_frequency(docs.select(F.array_intersect(words, listed).alias(words)), words)
+    asked = docs.sparkSession.createDataFrame([(term,) for term in terms], "term string")
+    counted = asked.join(found, "term", "left").na.fill(0, ["df"])
+    return counted.withColumn("idf", idf(n_docs, "df"))
