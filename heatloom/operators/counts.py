@@ -7,13 +7,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heatloom.functions.unnest import unnest, unnest_positions
+
 
 def explode_words(df: DataFrame, words: str = "words", keep: list[str] = ()) -> DataFrame:
-    return df.select(*keep, F.explode(words).alias("term"))
+    return unnest(df, words, *keep)
 
 
 def positions(df: DataFrame, words: str = "words", keep: list[str] = ("doc_id",)) -> DataFrame:
-    return df.select(*keep, F.posexplode(words).alias("pos", "term"))
+    return unnest_positions(df, words, *keep)
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "cnt") -> DataFrame:
@@ -27,7 +29,7 @@ def rare_terms(terms: DataFrame, min_count: int = 2) -> DataFrame:
 
 def prefix_count_in_row(df: DataFrame, row_key: str, values: Column, length: int) -> DataFrame:
     """Count the prefixes of a multi-valued column within each row."""
-    prefixes = df.select(row_key, F.explode(values).alias("value"))
+    prefixes = unnest(df, values, row_key, name="value")
     prefixes = prefixes.select(row_key, F.substring("value", 1, length).alias("prefix"))
     return count_by(prefixes, row_key, "prefix")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heatloom.functions.unnest import unnest_structs
 from heatloom.operators.sequence import BLOCK_WORDS, word_blocks
 
 # Target words of the hotel reviews.
@@ -41,8 +42,8 @@ def kwic(docs: DataFrame, targets: list[str] = REVIEW_TARGETS, radius: int = 3,
     end in ``doc`` order and ``pos`` counts from the first word of the corpus.
     """
     if not cross_document:
-        hits = docs.select(doc, F.inline(_hits(targets, radius)))
+        hits = unnest_structs(docs, _hits(targets, radius), doc, required="pos")
         return hits.select(doc, "pos", "word", "context")
     blocks = word_blocks(docs, [F.col(doc)], radius, radius, block_words=block_words)
-    hits = blocks.select("start", F.inline(_hits(targets, radius, own_only=True)))
+    hits = unnest_structs(blocks, _hits(targets, radius, own_only=True), "start", required="pos")
     return hits.select((F.col("start") + F.col("pos")).alias("pos"), "word", "context")

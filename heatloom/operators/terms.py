@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions.text import NEWS_STOPWORDS, NON_WORD, keep_term
+from heatloom.functions.unnest import unnest
 from heatloom.operators.counts import count_by
 from heatloom.operators.small import checked_broadcast
 from heatloom.operators.weights import idf
@@ -27,7 +28,7 @@ def clean_terms(docs: DataFrame, keep: list[str] = ("doc_id",), text: str = "tex
 def news_terms(docs: DataFrame, keep: list[str] = ("doc_id",), text: str = "text",
                stopwords: list[str] = NEWS_STOPWORDS, min_len: int = 2) -> DataFrame:
     """The same terms before rare ones are dropped."""
-    pieces = docs.select(*keep, F.explode(F.split(text, NON_WORD)).alias("piece"))
+    pieces = unnest(docs, F.split(text, NON_WORD), *keep, name="piece")
     terms = pieces.select(*keep, F.lower("piece").alias("term"))
     return count_by(terms.filter(keep_term(F.col("term"), stopwords, min_len)), *keep, "term", name="tf")
 
@@ -110,7 +111,7 @@ def _cut(runs, flags, known, max_len: int) -> list[str]:
 
 def _known_words(docs: DataFrame, lexicon: DataFrame, doc: str, in_dictionary: str, max_len: int) -> DataFrame:
     """The dictionary words that occur in each document."""
-    runs = docs.select(doc, F.explode(F.array_distinct("_runs")).alias("run")).filter(F.col("run").rlike(in_dictionary))
+    runs = unnest(docs, F.array_distinct("_runs"), doc, name="run").filter(F.col("run").rlike(in_dictionary))
     starts = runs.select(doc, "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i"))
     parts = starts.select(doc, "run", "i", F.explode(F.sequence(F.lit(1), F.lit(max_len))).alias("n"))
     parts = parts.filter(F.col("i") + F.col("n") - 1 <= F.length("run"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heatloom.functions.unnest import unnest
 from heatloom.operators.counts import count_by, explode_words, top_by_group
 from heatloom.operators.order import zip_index
 
@@ -26,7 +27,7 @@ def term_frequency(docs: DataFrame, keep: list[str] = ("doc_id",), words: str =
 
 def document_frequency(docs: DataFrame, words: str = "words", by: list[str] = ()) -> DataFrame:
     """Documents per term. Repeats are dropped inside each row, so only terms are shuffled."""
-    once = docs.select(*by, F.explode(F.array_distinct(words)).alias("term"))
+    once = unnest(docs, F.array_distinct(words), *by)
     return count_by(once, *by, "term", name="df")
 
 

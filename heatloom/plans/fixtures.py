@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions.text import ws_words
+from heatloom.functions.unnest import spread
 from heatloom.plans.registry import Tables
 
 AS_OF = "2024-03-01 00:00:00"
@@ -39,8 +40,23 @@ def labelled_docs(t: Tables) -> DataFrame:
     )
 
 
+def texts(t: Tables, *columns: str) -> DataFrame:
+    """Document texts for work that needs no grouping by document."""
+    return spread(t.documents.select("doc_id", "text", *columns), "doc_id")
+
+
+def texts_by_id(t: Tables, *columns: str) -> DataFrame:
+    """Document texts partitioned by document: raw text is moved once, and whatever is grouped
+    by document afterwards stays where it is."""
+    return t.documents.select("doc_id", "text", *columns).repartition("doc_id")
+
+
 def doc_words(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", ws_words(F.col("text")).alias("words"))
+    return texts(t).select("doc_id", ws_words(F.col("text")).alias("words"))
+
+
+def doc_words_by_id(t: Tables) -> DataFrame:
+    return texts_by_id(t).select("doc_id", ws_words(F.col("text")).alias("words"))
 
 
 def post_time(age_s: str = "age_s"):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heatloom.functions.text import ws_words
 from heatloom.operators import classify, clusters, terms, topics, weights
 from heatloom.plans.feature_queries import NUMBERS_SQL, numbers
-from heatloom.plans.fixtures import TOKENS_SQL, doc_words
+from heatloom.plans.fixtures import TOKENS_SQL, doc_words, texts_by_id
 from heatloom.plans.registry import Tables, query
 from heatloom.plans.row_queries import CENTER_DIST_SQL, CENTERS_SQL, STOPWORDS_SQL, WEIGHTED_F1_SQL, vectors
 
@@ -123,7 +123,7 @@ BAYES_SQL = """, cls AS (SELECT label, ln((count(*) + {s}) / ((SELECT count(*) F
 
 def split_docs(t: Tables):
     """News by language: ``(doc_id, label, text, split)``."""
-    docs = t.documents.select("doc_id", F.col("lang").alias("label"), "text")
+    docs = texts_by_id(t, "lang").withColumnRenamed("lang", "label")
     return classify.hash_split(docs, "doc_id")
 
 

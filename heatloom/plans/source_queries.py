@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heatloom.functions.text import safe_key, ws_words
-from heatloom.plans.fixtures import DOCS_SQL, POSTS_SQL, WORDS_SQL, labelled_docs, posts
+from heatloom.functions.unnest import unnest
+from heatloom.plans.fixtures import DOCS_SQL, POSTS_SQL, WORDS_SQL, labelled_docs, posts, texts
 from heatloom.plans.registry import Tables, query
 from heatloom.session import scratch_path
 from heatloom.sources import readers, sinks
@@ -149,7 +150,7 @@ def sink_roundtrip(t: Tables):
  FROM (SELECT lang, unnest({WORDS_SQL}) AS word FROM documents)
  WHERE regexp_full_match(word, '[a-z]+') GROUP BY word, lang) GROUP BY word""")
 def lexicon_load(t: Tables):
-    words = t.documents.select("lang", F.explode(ws_words(F.col("text"))).alias("word"))
+    words = unnest(texts(t, "lang"), ws_words(F.col("text")), "lang", name="word")
     words = words.filter(F.col("word").rlike("^[a-z]+$"))
     entries = words.groupBy("word").agg(
         F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"),

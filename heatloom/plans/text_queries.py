@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heatloom.functions.text import NEWS_STOPWORDS, is_numeric, ws_words
+from heatloom.functions.unnest import spread, unnest
 from heatloom.operators import feeds, heat, terms
 from heatloom.operators.counts import count_by, explode_words, positions, top_by_group
 from heatloom.operators.kwic import kwic
+from heatloom.operators.small import checked_broadcast
 from heatloom.operators.weights import best_first, group_tfidf
-from heatloom.plans.fixtures import AS_OF, DOCS_SQL, TF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, labelled_docs, post_time
+from heatloom.plans.fixtures import AS_OF, DOCS_SQL, TF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, labelled_docs, post_time, texts, texts_by_id
 from heatloom.plans.registry import Tables, query
 from heatloom.plans.row_queries import STOPWORDS_SQL
 
 KWIC_WORDS = ["the", "sich", "avec"]
+MAX_TOP_DOCS = 100_000
 KWIC_SQL = ", ".join(f"'{w}'" for w in KWIC_WORDS)
 
 
@@ -31,7 +34,7 @@ NEWS_TF_SQL = rf"""SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, lowe
 @query("tokenize_clean", f"""WITH tf AS ({NEWS_TF_SQL}) SELECT * FROM tf WHERE term IN
  (SELECT term FROM tf GROUP BY term HAVING sum(tf) >= 2)""")
 def tokenize_clean(t: Tables):
-    return terms.clean_terms(t.documents).select("doc_id", "term", "tf")
+    return terms.clean_terms(texts_by_id(t)).select("doc_id", "term", "tf")
 
 
 @query("chat_word_count", rf"""SELECT term, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(
@@ -40,7 +43,7 @@ def tokenize_clean(t: Tables):
 def chat_word_count(t: Tables):
     stop = t.spark.createDataFrame([(w,) for w in NEWS_STOPWORDS], "word string")
     lexicon = t.benchmark.select(F.explode(ws_words(F.col("text"))).alias("word"))
-    cut = terms.segment_corpus(t.conversations.select("text"), lexicon, stop)
+    cut = terms.segment_corpus(spread(t.conversations.select("conv_id", "text"), "conv_id"), lexicon, stop)
     words = explode_words(cut).filter(~is_numeric(F.col("term")) & (F.length("term") > 1))
     return count_by(words, "term").orderBy(F.col("cnt").desc(), "term")
 
@@ -63,7 +66,7 @@ def segment_corpus_query(t: Tables):
     """Text cut by the words of the benchmark items; only runs of plain letters are matched."""
     stop = t.spark.createDataFrame([(w,) for w in NEWS_STOPWORDS], "word string")
     lexicon = t.benchmark.select(F.explode(ws_words(F.col("text"))).alias("word"))
-    cut = terms.segment_corpus(t.documents.select("doc_id", "text"), lexicon, stop, dictionary_chars="a-z")
+    cut = terms.segment_corpus(texts(t), lexicon, stop, dictionary_chars="a-z")
     words = explode_words(cut).filter(F.col("term").rlike("^[a-z]+$"))
     return count_by(words, "term")
 
@@ -167,7 +170,7 @@ def total_heat(t: Tables):
  FROM ({TOKENS_SQL})), 6) AS intensity FROM (SELECT prediction, term, sum(p) AS weight FROM ({DOCS_SQL}) d
  JOIN ({TOKENS_SQL}) k ON d.doc_id = k.doc_id GROUP BY prediction, term) GROUP BY prediction""")
 def topic_intensity_given(t: Tables):
-    words = labelled_docs(t).select("prediction", "p", F.explode(ws_words(F.col("text"))).alias("term"))
+    words = unnest(spread(labelled_docs(t), "doc_id"), ws_words(F.col("text")), "prediction", "p")
     weights = words.groupBy(F.col("prediction").alias("topic"), "term").agg(F.sum("p").alias("weight"))
     return heat.intensity_from_weights(weights).withColumn("intensity", F.round("intensity", 6))
 
@@ -198,8 +201,11 @@ GROUP_TFIDF_SQL = f"""WITH top AS MATERIALIZED (SELECT doc_id, prediction FROM (
 
 
 def top_cluster_words(t: Tables):
-    top = heat.cluster_docs(labelled_docs(t).select("doc_id", "prediction", "p", "text"))
-    return top.select("prediction", "doc_id", "rank", ws_words(F.col("text")).alias("words"))
+    # ranks come from narrow rows; the texts of the few top documents are fetched afterwards
+    top = heat.cluster_docs(labelled_docs(t).select("doc_id", "prediction", "p"))
+    top = checked_broadcast(top.select("doc_id", "prediction", "rank"), MAX_TOP_DOCS)
+    words = t.documents.select("doc_id", "text").join(top, "doc_id")
+    return words.select("prediction", "doc_id", "rank", ws_words(F.col("text")).alias("words"))
 
 
 def cluster_weights(t: Tables):
