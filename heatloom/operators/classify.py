@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions.vectors import argmax
+from heatloom.operators.weights import idf
 from heatloom.session import checkpoint_root
 
 # Iterations, depth, smoothing and the parameters tried in the sweeps.
@@ -76,7 +77,8 @@ def weighted_f1(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class TermBayes:
-    """Multinomial Naive Bayes. ``weights`` has one row per term and one column per label."""
+    """Multinomial Naive Bayes. ``weights`` has one row per term: the weight of one occurrence
+    (``unit``) and one column per label."""
 
     labels: list
     log_prior: list[float]
@@ -84,10 +86,13 @@ class TermBayes:
     weights: DataFrame
     smoothing: float
 
-    def predict(self, docs: DataFrame, terms: DataFrame, weight: str) -> DataFrame:
-        """Most likely label of each document; terms unknown to the model do not count."""
-        scores = [F.col(weight) * (F.log(F.col(f"w{i}") + self.smoothing) - total)
-                  for i, total in enumerate(self.log_total)]
+    def predict(self, docs: DataFrame, terms: DataFrame) -> DataFrame:
+        """Most likely label of each document of ``terms (doc_id, term, tf)``.
+
+        Terms unknown to the model do not count.
+        """
+        weight = F.col("tf") * F.col("unit")
+        scores = [weight * (F.log(F.col(f"w{i}") + self.smoothing) - total) for i, total in enumerate(self.log_total)]
         sums = terms.join(self.weights, "term").groupBy("doc_id").agg(
             *[F.sum(s).alias(f"s{i}") for i, s in enumerate(scores)])
         score = F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) + prior for i, prior in enumerate(self.log_prior)])
@@ -97,24 +102,33 @@ class TermBayes:
         return joined.withColumn("prediction", best).drop(*[f"s{i}" for i in range(len(self.labels))])
 
 
-def fit_term_bayes(docs: DataFrame, terms: DataFrame, weight: str, smoothing: float = 1.0) -> TermBayes:
-    """Fit on ``docs (doc_id, label)`` and ``terms (label, term, weight)``.
+def fit_term_bayes(docs: DataFrame, terms: DataFrame, smoothing: float = 1.0, use_idf: bool = False,
+                   min_count: int = 1) -> TermBayes:
+    """Fit on ``docs (doc_id, label)`` and ``terms (doc_id, label, term, tf)``.
 
-    ``theta = ln((w_ct + s) / (w_c + s * V))``, ``prior = ln((N_c + s) / (N + s * K))``. The labels
-    and their totals are model parameters and reach the driver; the term table stays distributed.
+    ``theta = ln((w_ct + s) / (w_c + s * V))``, ``prior = ln((N_c + s) / (N + s * K))``. An IDF is
+    the same for all documents of a term, so one aggregation per term gives the document
+    frequency, the total and the weight per label. Labels and totals are model parameters and
+    reach the driver; the term table stays distributed.
     """
     sizes = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(MAX_LABELS + 1).collect()
     if len(sizes) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
     labels = [row["label"] for row in sizes]
-    by_label = [F.sum(F.when(F.col("label") == label, F.col(weight)).otherwise(0.0)).alias(f"w{i}")
+    n, k = sum(row["n"] for row in sizes), len(labels)
+    by_label = [F.sum(F.when(F.col("label") == label, F.col("tf")).otherwise(0)).alias(f"n{i}")
                 for i, label in enumerate(labels)]
+    stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"), *by_label)
+    unit = idf(n, "df") if use_idf else F.lit(1.0)
     checkpoint_root(docs.sparkSession)
-    weights = terms.groupBy("term").agg(*by_label).checkpoint()
-    totals = weights.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) for i in range(len(labels))]).first()
-    n, k, v = sum(row["n"] for row in sizes), len(labels), totals[0]
+    weights = (
+        stats.filter(F.col("total") >= min_count)
+        .select("term", unit.alias("unit"), *[(F.col(f"n{i}") * unit).alias(f"w{i}") for i in range(k)])
+        .checkpoint()
+    )
+    totals = weights.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) for i in range(k)]).first()
     log_prior = [math.log((row["n"] + smoothing) / (n + smoothing * k)) for row in sizes]
-    log_total = [math.log(total + smoothing * v) for total in totals[1:]]
+    log_total = [math.log(total + smoothing * totals[0]) for total in totals[1:]]
     return TermBayes(labels, log_prior, log_total, weights, smoothing)
 
 

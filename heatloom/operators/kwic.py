@@ -44,6 +44,6 @@ def kwic(docs: DataFrame, targets: list[str] = REVIEW_TARGETS, radius: int = 3,
     if not cross_document:
         hits = unnest_structs(docs, _hits(targets, radius), doc, required="pos")
         return hits.select(doc, "pos", "word", "context")
-    blocks = word_blocks(docs, [F.col(doc)], radius, radius, block_words=block_words)
+    blocks = word_blocks(docs, [doc], radius, radius, block_words=block_words)
     hits = unnest_structs(blocks, _hits(targets, radius, own_only=True), "start", required="pos")
     return hits.select((F.col("start") + F.col("pos")).alias("pos"), "word", "context")

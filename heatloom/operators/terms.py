@@ -10,7 +10,6 @@ from heatloom.functions.text import NEWS_STOPWORDS, NON_WORD, keep_term
 from heatloom.functions.unnest import unnest
 from heatloom.operators.counts import count_by
 from heatloom.operators.small import checked_broadcast
-from heatloom.operators.weights import idf
 
 # Longest dictionary word and the characters that are matched against it.
 MAX_WORD = 7
@@ -40,12 +39,6 @@ def drop_rare(tf: DataFrame, min_count: int = 2) -> DataFrame:
     return tf.join(frequent, "term", "left_semi").select(tf.columns)
 
 
-def term_stats(tf: DataFrame, n_docs: int, min_count: int = 2) -> DataFrame:
-    """``(term, idf)`` of the terms that are not rare, from one aggregation."""
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    return stats.filter(F.col("total") >= min_count).select("term", idf(n_docs, "df").alias("idf"))
-
-
 def _walk(run: str, known, max_len: int) -> list[str]:
     """Longest known word at each step; a character that starts none is passed over."""
     out, i = [], 0

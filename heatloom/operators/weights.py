@@ -72,28 +72,24 @@ def top_terms(weights: DataFrame, n: int, score: str = "tfidf", by: list[str] =
 
 def joined_terms(ranked: DataFrame, by: list[str]) -> DataFrame:
     """The ranked terms of each document as one blank-separated string."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "term")))
     return ranked.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x.term), " ").alias("hotwords"))
 
 
 def cosine_pairs(weights: DataFrame, pairs: DataFrame, score: str = "tfidf") -> DataFrame:
-    """Cosine of the two documents of each ``(left_id, right_id)`` row."""
-    w = weights.select("doc_id", "term", F.col(score).alias("w"))
-    norms = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    left = w.select(F.col("doc_id").alias("left_id"), "term", F.col("w").alias("wl"))
-    right = w.select(F.col("doc_id").alias("right_id"), "term", F.col("w").alias("wr"))
-    dots = (
-        pairs.join(left, "left_id").join(right, ["right_id", "term"])
-        .groupBy("left_id", "right_id").agg(F.sum(F.col("wl") * F.col("wr")).alias("dot"))
-    )
-    sides = [norms.select(F.col("doc_id").alias(f"{s}_id"), F.col("norm").alias(f"{s}_norm"))
-             for s in ("left", "right")]
-    cosine = F.coalesce("dot", F.lit(0.0)) / (F.col("left_norm") * F.col("right_norm"))
-    return (
-        pairs.join(dots, ["left_id", "right_id"], "left")
-        .join(sides[0], "left_id").join(sides[1], "right_id")
-        .select("left_id", "right_id", cosine.alias("cosine"))
-    )
+    """Cosine of the two documents of each ``(left_id, right_id)`` row.
+
+    Both sides of a pair meet per term in one aggregation, which also gives the norms.
+    """
+    sides = F.array(F.struct(F.col("left_id").alias("doc_id"), F.lit(1.0).alias("l"), F.lit(0.0).alias("r")),
+                    F.struct(F.col("right_id").alias("doc_id"), F.lit(0.0).alias("l"), F.lit(1.0).alias("r")))
+    members = pairs.select("left_id", "right_id", F.inline(sides))
+    w = F.col(score)
+    terms = weights.join(members, "doc_id").groupBy("left_id", "right_id", "term").agg(
+        F.sum(w * F.col("l")).alias("wl"), F.sum(w * F.col("r")).alias("wr"))
+    dot, norm_l, norm_r = (F.sum(F.col(x) * F.col(y)) for x, y in (("wl", "wr"), ("wl", "wl"), ("wr", "wr")))
+    cosine = F.try_divide(dot, F.sqrt(norm_l) * F.sqrt(norm_r))
+    return terms.groupBy("left_id", "right_id").agg(cosine.alias("cosine"))
 
 
 def listed_idf(docs: DataFrame, terms: list[str], words: str = "words") -> DataFrame:

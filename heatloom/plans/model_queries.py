@@ -135,8 +135,8 @@ def split_docs(t: Tables):
 def naive_bayes(t: Tables):
     docs = split_docs(t).withColumn("words", ws_words(F.col("text")))
     train, test = (docs.filter(F.col("split") == part) for part in ("train", "test"))
-    model = classify.fit_term_bayes(train, weights.term_frequency(train, ["doc_id", "label"]), "tf")
-    guess = model.predict(test.select("doc_id", "label"), weights.term_frequency(test), "tf")
+    model = classify.fit_term_bayes(train, weights.term_frequency(train, ["doc_id", "label"]))
+    guess = model.predict(test.select("doc_id", "label"), weights.term_frequency(test))
     return guess.select("doc_id", "label", "prediction", F.round(F.array_max("scores"), 4).alias("score"))
 
 
@@ -162,12 +162,8 @@ def news_guess(docs):
     """Clean terms, TF-IDF fitted on the training part, Naive Bayes, labels of the test part."""
     train, test = (docs.filter(F.col("split") == part).drop("split") for part in ("train", "test"))
     train_tf, test_tf = terms.news_terms(train, ["doc_id", "label"]), terms.news_terms(test)
-    stats = terms.term_stats(train_tf, train.count())
-    weight = (F.col("tf") * F.col("idf")).alias("w")
-    train_w = train_tf.join(stats, "term").select("label", "term", weight)
-    test_w = test_tf.join(stats, "term").select("doc_id", "term", weight)
-    model = classify.fit_term_bayes(train, train_w, "w", classify.NEWS_SMOOTHING)
-    return model.predict(test.select("doc_id", "label"), test_w, "w")
+    model = classify.fit_term_bayes(train, train_tf, classify.NEWS_SMOOTHING, use_idf=True, min_count=2)
+    return model.predict(test.select("doc_id", "label"), test_tf)
 
 
 def labelled_features(t: Tables):

@@ -14,6 +14,7 @@ from heatloom.operators.weights import best_first, group_tfidf
 from heatloom.plans.fixtures import AS_OF, DOCS_SQL, TF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, labelled_docs, post_time, texts, texts_by_id
 from heatloom.plans.registry import Tables, query
 from heatloom.plans.row_queries import STOPWORDS_SQL
+from heatloom.session import checkpoint_root
 
 KWIC_WORDS = ["the", "sich", "avec"]
 MAX_TOP_DOCS = 100_000
@@ -205,7 +206,9 @@ def top_cluster_words(t: Tables):
     top = heat.cluster_docs(labelled_docs(t).select("doc_id", "prediction", "p"))
     top = checked_broadcast(top.select("doc_id", "prediction", "rank"), MAX_TOP_DOCS)
     words = t.documents.select("doc_id", "text").join(top, "doc_id")
-    return words.select("prediction", "doc_id", "rank", ws_words(F.col("text")).alias("words"))
+    words = words.select("prediction", "doc_id", "rank", ws_words(F.col("text")).alias("words"))
+    checkpoint_root(t.spark)
+    return words.checkpoint()  # a few documents per cluster, read once from the whole table
 
 
 def cluster_weights(t: Tables):
