@@ -40,6 +40,23 @@ def weighted_heat(measures: dict[str, Column] | None = None) -> Column:
     return sum((parts[name] * weight for name, weight in WEIGHTS.items()), F.lit(0.0))
 
 
+def _support(sizes: DataFrame, corpus_size: int | None) -> DataFrame:
+    # without a given size, a window over one row per cluster adds them up
+    total = F.sum("post_num").over(Window.partitionBy()) if corpus_size is None else F.lit(corpus_size)
+    return sizes.select("prediction", "post_num", (F.col("post_num") / total).alias("support"))
+
+
+def _measures(top: DataFrame) -> DataFrame:
+    """The measures of the top documents of each cluster."""
+    entropy = F.sum(F.col("p") * F.log2("p"))
+    return top.groupBy("prediction").agg(
+        F.avg(_log_scaled("replies", REPLY_BASE)).alias("attention"),
+        (-F.avg(_log_scaled("age_s", AGE_BASE))).alias("timeliness"),
+        (F.var_pop("p") * F.sum("p")).alias("burst"),
+        F.when(entropy != 0, -1 / entropy).alias("purity"),
+    )
+
+
 def topic_heat(docs: DataFrame, take: int = TOP_DOCS, corpus_size: int | None = None) -> DataFrame:
     """The measures and the heat of each cluster.
 
@@ -47,21 +64,27 @@ def topic_heat(docs: DataFrame, take: int = TOP_DOCS, corpus_size: int | None =
     documents, the other measures its top ``take``. Purity, and so the heat, is NULL when every
     probability is 1.
     """
+    support = _support(count_by(docs, "prediction", name="post_num"), corpus_size)
+    top = cluster_docs(docs.select("doc_id", "prediction", "p", "replies", "age_s"), take)
+    return support.join(_measures(top), "prediction").withColumn("heat", weighted_heat())
+
+
+def exchange_rows(docs: DataFrame, take: int = TOP_DOCS) -> DataFrame:
+    """The top documents of each cluster in the order of the exchange format.
+
+    ``docs`` has ``doc_id, distribution, p, prediction, time, replies``.
+    """
     sizes = count_by(docs, "prediction", name="post_num")
-    if corpus_size is None:
-        # a window over one row per cluster
-        total = F.sum("post_num").over(Window.partitionBy())
-    else:
-        total = F.lit(corpus_size)
-    support = sizes.select("prediction", "post_num", (F.col("post_num") / total).alias("support"))
-    entropy = F.sum(F.col("p") * F.log2("p"))
-    measures = cluster_docs(docs.select("doc_id", "prediction", "p", "replies", "age_s"), take).groupBy("prediction").agg(
-        F.avg(_log_scaled("replies", REPLY_BASE)).alias("attention"),
-        (-F.avg(_log_scaled("age_s", AGE_BASE))).alias("timeliness"),
-        (F.var_pop("p") * F.sum("p")).alias("burst"),
-        F.when(entropy != 0, -1 / entropy).alias("purity"),
-    )
-    return support.join(measures, "prediction").withColumn("heat", weighted_heat())
+    top = cluster_docs(docs, take).join(sizes, "prediction")
+    return top.select("post_num", F.col("doc_id").alias("index"), F.array_join("distribution", ",").alias("topic_distribution"),
+                      F.col("p").alias("max_probability"), "prediction", F.translate("time", " ", ",").alias("time"), F.col("replies").alias("recall"))
+
+
+def heat_of_exchange(rows: DataFrame, as_of: str, corpus_size: int | None = None) -> DataFrame:
+    """The heat of clusters handed over in the exchange format."""
+    docs = post_age(rows, as_of).withColumnsRenamed({"max_probability": "p", "recall": "replies"})
+    sizes = docs.groupBy("prediction").agg(F.max("post_num").alias("post_num"))
+    return _support(sizes, corpus_size).join(_measures(docs), "prediction").withColumn("heat", weighted_heat())
 
 
 def total_heat(heat: DataFrame, intensity: DataFrame) -> DataFrame:

@@ -39,12 +39,14 @@ def hot_topics(posts: DataFrame, model: str = "lda", k: int = topics.K, max_iter
         shape, order = LDA_SHAPE, [F.col("p").desc(), F.col("doc_id")]
         counted, vocabulary = topics.count_vectors(docs.select("doc_id", "words"))
         fitted = topics.fit_topics(counted, vocabulary, k, max_iter, optimizer, seed)
-        labels = fitted.assign(counted).select("doc_id", "prediction", "p").checkpoint()
+        labels = fitted.assign(counted).select("doc_id", "prediction", "p", "distribution").checkpoint()
         out["topic_terms"] = fitted.terms()
         out["intensity"] = fitted.intensity(posts.sparkSession)
         if as_of is not None:
             aged = heat.post_age(docs.select("doc_id", "time", "replies"), as_of, fmt=time_format)
-            scored = heat.topic_heat(aged.join(labels, "doc_id"))
+            placed = aged.join(labels, "doc_id")
+            out["cluster_docs"] = heat.exchange_rows(placed)
+            scored = heat.topic_heat(placed)
             out["heat"] = heat.total_heat(scored, out["intensity"])
     else:
         shape, order = KMEANS_SHAPE, [F.round("sq_dist", 9), F.col("doc_id")]

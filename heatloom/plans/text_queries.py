@@ -11,10 +11,12 @@ from heatloom.operators.counts import count_by, explode_words, positions, top_by
 from heatloom.operators.kwic import kwic
 from heatloom.operators.small import checked_broadcast
 from heatloom.operators.weights import best_first, group_tfidf
-from heatloom.plans.fixtures import AS_OF, DOCS_SQL, TF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, labelled_docs, post_time, texts, texts_by_id
+from heatloom.plans.fixtures import AS_OF, CLUSTERS, DOCS_SQL, TF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, labelled_docs, post_time, texts, texts_by_id
 from heatloom.plans.registry import Tables, query
 from heatloom.plans.row_queries import STOPWORDS_SQL
-from heatloom.session import checkpoint_root
+from heatloom.session import checkpoint_root, scratch_path
+from heatloom.sources.readers import read_cluster_docs
+from heatloom.sources.sinks import write_delimited
 
 KWIC_WORDS = ["the", "sich", "avec"]
 MAX_TOP_DOCS = 100_000
@@ -144,6 +146,25 @@ TOTAL_SQL = f"""SELECT *, (1 + prediction / 10.0::DOUBLE) * 0.1 AS intensity_sha
  heat + (1 + prediction / 10.0::DOUBLE) * 0.1 AS total_heat FROM ({HEAT_SQL})"""
 
 
+# Fixed value: corpus size of the published scores.
+PUBLISHED_CORPUS = 4958
+
+
+@query("heat_of_exchange", f"""SELECT prediction, post_num, round(post_num / {PUBLISHED_CORPUS}::DOUBLE, 6) AS support,
+ round(heat - 0.3 * support + 0.3 * post_num / {PUBLISHED_CORPUS}::DOUBLE, 6) AS heat FROM ({HEAT_SQL})""")
+def heat_of_exchange(t: Tables):
+    """Heat from files in the exchange format, with the corpus size given."""
+    docs = labelled_docs(t).select("doc_id", "p", "prediction", "replies",
+                                   F.date_format(post_time(), heat.TIME_FORMAT).alias("time"))
+    share = (1 - F.col("p")) / (CLUSTERS - 1)
+    spread_out = F.transform(F.sequence(F.lit(0), F.lit(CLUSTERS - 1)),
+                             lambda i: F.when(i == F.col("prediction"), F.col("p")).otherwise(share))
+    path = scratch_path(t.spark, "clusterdocs")
+    write_delimited(heat.exchange_rows(docs.withColumn("distribution", spread_out)), path, sep=" ")
+    scores = heat.heat_of_exchange(read_cluster_docs(t.spark, path), AS_OF, PUBLISHED_CORPUS)
+    return scores.select("prediction", "post_num", F.round("support", 6).alias("support"), F.round("heat", 6).alias("heat"))
+
+
 def scored(t: Tables):
     return heat.topic_heat(labelled_docs(t))
 

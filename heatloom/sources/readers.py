@@ -16,6 +16,10 @@ REVIEWS_SCHEMA = "score DOUBLE, customer_type STRING, comments STRING"
 SEGMENTED_SCHEMA = (
     "index LONG, splitwords STRING, score DOUBLE, comments STRING, customer_type STRING"
 )
+CLUSTER_DOCS_SCHEMA = (
+    "post_num LONG, index LONG, topic_distribution STRING, max_probability DOUBLE, prediction INT, "
+    "time STRING, recall INT"
+)
 SEARCH_LOG_SCHEMA = "time STRING, user_id LONG, keyword STRING, rank STRING, url STRING"
 
 
@@ -39,6 +43,11 @@ def read_segmented_reviews(spark: SparkSession, path: str) -> DataFrame:
     return _delimited(spark, path, SEGMENTED_SCHEMA)
 
 
+def read_cluster_docs(spark: SparkSession, path: str) -> DataFrame:
+    """The exchange format between clustering and heat, fields between blanks."""
+    return _delimited(spark, path, CLUSTER_DOCS_SCHEMA, sep=" ")
+
+
 def read_search_log(spark: SparkSession, path: str) -> DataFrame:
     return _delimited(spark, path, SEARCH_LOG_SCHEMA, sep="\t")
 
