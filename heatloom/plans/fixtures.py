@@ -1,4 +1,4 @@
-"""Inputs of the reference's jobs, derived from the driver's tables.
+"""Inputs of the jobs, derived from the driver's tables.
 
 Derived columns use integer arithmetic only, so Spark and SQL compute the same values.
 """
