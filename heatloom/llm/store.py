@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import DataFrame, SparkSession
 
 from heatloom.session import scratch_path
 
 
 class Scratch:
-    """Tables written during one call; ``drop`` removes them once nothing reads them any more."""
+    """Tables written during one call; ``drop`` removes them once nothing reads them any more. What a lazy result
+    still reads is removed when the program ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
+        atexit.register(self._at_exit)
+
+    def _at_exit(self) -> None:
+        if self.paths and self.spark.sparkContext._jsc is not None:
+            self.drop()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
