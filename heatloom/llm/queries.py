@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heatloom.llm import mixing_queries, near_queries, quality_queries  # noqa: F401
+from heatloom.llm import bpe_queries, mixing_queries, near_queries, quality_queries  # noqa: F401
 from heatloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
