@@ -15,7 +15,7 @@ GRAM = 128
 _MAX = np.iinfo(np.uint64).max
 
 
-def _sliding(v: np.ndarray, w: int, best: np.ufunc, fill: int) -> np.ndarray:
+def sliding(v: np.ndarray, w: int, best: np.ufunc, fill: int) -> np.ndarray:
     """``best`` of each run of ``w`` values, from running values of blocks of ``w``."""
     n = len(v)
     count = -(-n // w)
@@ -33,14 +33,14 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     """
     grams = window_hashes(BYTE_VALUES[data], GRAM)
     w = length - GRAM + 1
-    low = _sliding(grams, w, np.minimum, _MAX)
+    low = sliding(grams, w, np.minimum, _MAX)
     n = len(low)
     change = np.ones(n, bool)
     change[1:] = (low[1:] != low[:-1]) | (grams[:n - 1] == low[:-1])  # a smaller one came in, or the anchor went out
     first = np.flatnonzero(change)
     padded = np.zeros(n + 2 * (w - 1), np.uint64)
     padded[w - 1:w - 1 + n] = low
-    places = np.flatnonzero(_sliding(padded, w, np.maximum, 0) == grams)
+    places = np.flatnonzero(sliding(padded, w, np.maximum, 0) == grams)
     want = low[first]
     at = np.searchsorted(places, first)
     left = np.flatnonzero(grams[places[at]] != want)
