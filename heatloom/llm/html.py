@@ -65,7 +65,7 @@ def _is_noise(name: str, attributes: str) -> bool:
         if key == "role":
             if value.lower() in ROLES:
                 return True
-        elif any(w.lower() in noise for w in _NAME.findall(value)):
+        elif not noise.isdisjoint([w.lower() for w in _NAME.findall(value)] + re.split("[^a-z]+", value.lower())):
             return True
     return False
 

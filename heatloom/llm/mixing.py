@@ -42,8 +42,8 @@ def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     row = row.withColumn("n", F.expr("aggregate(t, 0, (a, x) -> a + x.q)"))
     # done[k]: blocks of source k sent so far. In slot s source k is released when done * n < (s + 1) * q; its deadline is
     # ceil((done + 1) * n / q).
-    fold = row.filter("n > 0").select("t", "n", F.expr("""
-      aggregate(sequence(0, n - 1),
+    fold = row.select("t", "n", F.expr("""
+      CASE WHEN n > 0 THEN aggregate(sequence(0, n - 1),
         named_struct('done', transform(t, x -> 0), 'sent', cast(array() AS array<int>)),
         (acc, s) -> aggregate(
           array(array_min(transform(sequence(0, size(t) - 1), k -> CASE
@@ -53,7 +53,7 @@ def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
           (old, pick) -> named_struct(
             'done', transform(old.done, (c, k) -> CASE WHEN k = pick.k THEN c + 1 ELSE c END),
             'sent', concat(old.sent, array(pick.k)))),
-        acc -> acc.sent)""").alias("sent"))
+        acc -> acc.sent) END""").alias("sent"))
     return fold.select("t", "n", F.posexplode("sent").alias("slot", "k")).select(
         F.expr("t[k].source").alias("source"), F.expr("t[k].q").alias("quota"), F.col("n").alias("period"),
         "slot", "k").selectExpr(
