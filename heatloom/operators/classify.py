@@ -28,7 +28,6 @@ L2_GRID = [0.001, 0.01, 0.1, 1.0, 10.0]
 DEPTH_GRID = [1, 2, 3, 4, 5, 10, 20]
 SMOOTHING_GRID = [0.001, 0.01, 0.1, 1.0, 10.0]
 HOLDOUT_L2_GRID = [0.0, 0.001, 0.0025, 0.005, 0.01]
-MAX_LABELS = 1000
 
 
 # --- metrics on predicted labels ---------------------------------------------------------------
@@ -47,8 +46,8 @@ def hard_label_areas(rows: DataFrame) -> DataFrame:
     point, so both areas are closed forms of the confusion counts, and one pass serves all models.
     """
     recall = F.try_divide("tp", "pos")
-    precision = F.try_divide("tp", F.col("tp") + F.col("fp"))
     base = F.col("pos") / (F.col("pos") + F.col("neg"))
+    precision = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), base)  # no positive prediction: the base rate
     pr = recall * precision + (1 - recall) * (precision + base) / 2
     roc = (recall + 1 - F.try_divide("fp", "neg")) / 2
     return _counts(rows).select("model", pr.alias("pr"), roc.alias("roc"))
@@ -77,8 +76,8 @@ def weighted_f1(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class TermBayes:
-    """Multinomial Naive Bayes. ``weights`` has one row per term: the weight of one occurrence
-    (``unit``) and one column per label."""
+    """Multinomial Naive Bayes. ``weights`` has one row per term: the weight of one occurrence (``unit``) and ``gains``,
+    for each label that has the term the position of the label and ``ln(w + s) - ln(s)``."""
 
     labels: list
     log_prior: list[float]
@@ -87,48 +86,49 @@ class TermBayes:
     smoothing: float
 
     def predict(self, docs: DataFrame, terms: DataFrame) -> DataFrame:
-        """Most likely label of each document of ``terms (doc_id, term, tf)``.
+        """Most likely label of each document of ``terms (doc_id, term, tf)``, with the ``scores`` of all labels.
 
         Terms unknown to the model do not count.
         """
-        weight = F.col("tf") * F.col("unit")
-        scores = [weight * (F.log(F.col(f"w{i}") + self.smoothing) - total) for i, total in enumerate(self.log_total)]
-        sums = terms.join(self.weights, "term").groupBy("doc_id").agg(
-            *[F.sum(s).alias(f"s{i}") for i, s in enumerate(scores)])
-        score = F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) + prior for i, prior in enumerate(self.log_prior)])
+        known = terms.join(self.weights, "term").select("doc_id", (F.col("tf") * F.col("unit")).alias("x"), "gains")
+        mass = known.groupBy("doc_id").agg(F.sum("x").alias("mass"))
+        parts = known.select("doc_id", "x", F.inline("gains")).groupBy("doc_id", "label").agg(F.sum(F.col("x") * F.col("gain")).alias("gain"))
+        parts = parts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "gain"))).alias("gain"))
+        joined = docs.join(mass, "doc_id", "left").join(parts, "doc_id", "left")
+        base = F.array(*[F.struct(F.lit(p).alias("prior"), F.lit(math.log(self.smoothing) - t).alias("none"))
+                         for p, t in zip(self.log_prior, self.log_total)])
+        score = F.transform(base, lambda x, i: x.prior + F.coalesce("mass", F.lit(0.0)) * x.none + F.coalesce(
+            F.try_element_at("gain", i), F.lit(0.0)))
+        joined = joined.withColumn("scores", score).drop("mass", "gain")
         labels = F.array(*[F.lit(label) for label in self.labels])
-        joined = docs.join(sums, "doc_id", "left").withColumn("scores", score)
-        best = F.element_at(labels, argmax(F.col("scores")) + 1)
-        return joined.withColumn("prediction", best).drop(*[f"s{i}" for i in range(len(self.labels))])
+        return joined.withColumn("prediction", F.element_at(labels, argmax(F.col("scores")) + 1))
 
 
 def fit_term_bayes(docs: DataFrame, terms: DataFrame, smoothing: float = 1.0, use_idf: bool = False,
                    min_count: int = 1) -> TermBayes:
     """Fit on ``docs (doc_id, label)`` and ``terms (doc_id, label, term, tf)``.
 
-    ``theta = ln((w_ct + s) / (w_c + s * V))``, ``prior = ln((N_c + s) / (N + s * K))``. An IDF is
-    the same for all documents of a term, so one aggregation per term gives the document
-    frequency, the total and the weight per label. Labels and totals are model parameters and
-    reach the driver; the term table stays distributed.
+    ``theta = ln((w_ct + s) / (w_c + s * V))``, ``prior = ln((N_c + s) / (N + s * K))``. Counts are grouped by term and
+    label and then by term, so there is no column per label. Labels and totals are model parameters and reach the
+    driver; the term table stays distributed.
     """
-    sizes = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(MAX_LABELS + 1).collect()
-    if len(sizes) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    sizes = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()
     labels = [row["label"] for row in sizes]
     n, k = sum(row["n"] for row in sizes), len(labels)
-    by_label = [F.sum(F.when(F.col("label") == label, F.col("tf")).otherwise(0)).alias(f"n{i}")
-                for i, label in enumerate(labels)]
-    stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"), *by_label)
+    cells = terms.groupBy("term", "label").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    stats = cells.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("total"), F.collect_list(F.struct("label", "tf")).alias("cells"))
     unit = idf(n, "df") if use_idf else F.lit(1.0)
     checkpoint_root(docs.sparkSession)
-    weights = (
-        stats.filter(F.col("total") >= min_count)
-        .select("term", unit.alias("unit"), *[(F.col(f"n{i}") * unit).alias(f"w{i}") for i in range(k)])
-        .checkpoint()
-    )
-    totals = weights.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) for i in range(k)]).first()
+    stats = stats.filter(F.col("total") >= min_count).select("term", unit.alias("unit"), "cells")
+    place = F.create_map(*[F.lit(x) for i, label in enumerate(labels) for x in (label, i)])
+    gains = F.transform("cells", lambda c: F.struct(
+        F.element_at(place, c.label).alias("label"), (c.tf * F.col("unit")).alias("w"),
+        (F.log(c.tf * F.col("unit") + smoothing) - math.log(smoothing)).alias("gain")))
+    weights = stats.select("term", "unit", gains.alias("gains")).checkpoint()
+    size = weights.count()
+    sums = {r["label"]: r["w"] for r in weights.select(F.inline("gains")).groupBy("label").agg(F.sum("w").alias("w")).collect()}
     log_prior = [math.log((row["n"] + smoothing) / (n + smoothing * k)) for row in sizes]
-    log_total = [math.log(total + smoothing * totals[0]) for total in totals[1:]]
+    log_total = [math.log(sums.get(i, 0.0) + smoothing * size) for i in range(k)]
     return TermBayes(labels, log_prior, log_total, weights, smoothing)
 
 
@@ -230,19 +230,21 @@ def scored_areas(fitted: DataFrame) -> dict[str, float]:
     return {m: evaluator.evaluate(fitted, {evaluator.metricName: full}) for m, full in names.items()}
 
 
-Fit = Callable[[DataFrame, DataFrame], DataFrame]
+# A fit gives a function that adds predictions to a table.
+Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
 
 def estimator_fit(estimator) -> Fit:
-    return lambda train, test: estimator.fit(train).transform(test)
+    return lambda train: estimator.fit(train).transform
 
 
 def descent_fit(**params) -> Fit:
-    def fit(train: DataFrame, test: DataFrame) -> DataFrame:
-        def as_array(df):
-            return df.select(vector_to_array("features").alias("features"), "label")
+    def as_array(df):
+        return df.select(vector_to_array("features").alias("features"), "label")
 
-        return predict_logistic(as_array(test), descend_logistic(as_array(train), **params))
+    def fit(train: DataFrame):
+        model = descend_logistic(as_array(train), **params)
+        return lambda rows: predict_logistic(as_array(rows), model)
 
     return fit
 
@@ -258,15 +260,28 @@ def sweep_grid() -> dict[str, Fit]:
     return grid
 
 
-def tune(train: DataFrame, test: DataFrame, grid: dict[str, Fit]) -> DataFrame:
-    """Areas of every parameter setting: ``(model, pr, roc)``. The inputs are cached once."""
+def tune_parts(train: DataFrame, parts: dict[str, DataFrame], grid: dict[str, Fit]) -> DataFrame:
+    """Areas of every parameter setting on every part: ``(part, model, pr, roc)``. Each setting is fitted once; the
+    inputs are cached while the few result rows are computed."""
+    spark = train.sparkSession
     train = train.persist()
-    test = train if test is train else test.persist()
-    parts = []
-    for name, fit in grid.items():
-        rows = fit(train, test)
-        parts.append(rows.select(F.lit(name).alias("model"), F.col("label").cast("int"), F.col("prediction").cast("int")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return hard_label_areas(out)
+    kept = {name: rows.persist() for name, rows in parts.items()}
+    try:
+        guesses = []
+        for model, fit in grid.items():
+            predict = fit(train)
+            guesses += [predict(rows).select(F.concat_ws("|", F.lit(name), F.lit(model)).alias("model"), F.col("label").cast("int"),
+                                             F.col("prediction").cast("int")) for name, rows in kept.items()]
+        out = guesses[0]
+        for more in guesses[1:]:
+            out = out.unionByName(more)
+        rows = [(*r["model"].split("|", 1), r["pr"], r["roc"]) for r in hard_label_areas(out).collect()]
+    finally:
+        for cached in (train, *kept.values()):
+            cached.unpersist()
+    return spark.createDataFrame(rows, "part string, model string, pr double, roc double")
+
+
+def tune(train: DataFrame, test: DataFrame, grid: dict[str, Fit]) -> DataFrame:
+    """Areas of every parameter setting: ``(model, pr, roc)``."""
+    return tune_parts(train, {"test": test}, grid).drop("part")

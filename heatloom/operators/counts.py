@@ -22,6 +22,17 @@ def count_by(df: DataFrame, *keys: str, name: str = "cnt") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def counts_in_row(words: Column) -> Column:
+    """Array of ``(term, tf)`` of one row's words: sorted, then the places where the word changes and the gaps
+    between them."""
+    def runs(s: Column) -> Column:
+        place = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+        return F.aggregate(F.array(place), F.array().cast("array<struct<term:string,tf:bigint>>"), lambda _, p: F.transform(
+            p, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(p, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
+
+    return F.aggregate(F.array(F.sort_array(words)), F.array().cast("array<struct<term:string,tf:bigint>>"), lambda _, s: runs(s))
+
+
 def rare_terms(terms: DataFrame, min_count: int = 2) -> DataFrame:
     """Terms seen fewer than ``min_count`` times."""
     return count_by(terms, "term").filter(F.col("cnt") < min_count)

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions.text import NEWS_STOPWORDS, NON_WORD, keep_term
-from heatloom.functions.unnest import unnest
-from heatloom.operators.counts import count_by
+from heatloom.functions.unnest import unnest, unnest_structs
+from heatloom.operators.counts import counts_in_row
 from heatloom.operators.small import checked_broadcast
 
 # Longest dictionary word and the characters that are matched against it.
@@ -27,9 +27,8 @@ def clean_terms(docs: DataFrame, keep: list[str] = ("doc_id",), text: str = "tex
 def news_terms(docs: DataFrame, keep: list[str] = ("doc_id",), text: str = "text",
                stopwords: list[str] = NEWS_STOPWORDS, min_len: int = 2) -> DataFrame:
     """The same terms before rare ones are dropped."""
-    pieces = unnest(docs, F.split(text, NON_WORD), *keep, name="piece")
-    terms = pieces.select(*keep, F.lower("piece").alias("term"))
-    return count_by(terms.filter(keep_term(F.col("term"), stopwords, min_len)), *keep, "term", name="tf")
+    words = F.filter(F.transform(F.split(text, NON_WORD), F.lower), lambda w: keep_term(w, stopwords, min_len))
+    return unnest_structs(docs, counts_in_row(words), *keep, required="term")
 
 
 def drop_rare(tf: DataFrame, min_count: int = 2) -> DataFrame:
@@ -89,7 +88,7 @@ def segment_corpus(docs: DataFrame, lexicon: DataFrame, stopwords: DataFrame | N
 
     docs = docs.withColumn("_flags", F.transform("_runs", lambda r: r.rlike(in_dictionary)))
     docs = docs.withColumn("words", cut(*known_columns)).drop("_runs", "_flags", "_known")
-    return docs if stopwords is None else clear_stopwords(docs, stopwords)
+    return docs if stopwords is None else clear_stopwords(docs, stopwords, doc)
 
 
 def _cut(runs, flags, known, max_len: int) -> list[str]:
@@ -112,11 +111,15 @@ def _known_words(docs: DataFrame, lexicon: DataFrame, doc: str, in_dictionary: s
     return words.join(lexicon, "word", "left_semi").groupBy(doc).agg(F.collect_set("word").alias("_known"))
 
 
-def clear_stopwords(docs: DataFrame, stopwords: DataFrame, max_list: int = 100_000) -> DataFrame:
-    """Remove the words of ``stopwords (word)`` from ``words``."""
+def clear_stopwords(docs: DataFrame, stopwords: DataFrame, doc: str = "doc_id", max_list: int = 10_000) -> DataFrame:
+    """Remove the words of ``stopwords (word)`` from ``words``. A list above ``max_list`` is joined: each document
+    gets the stop words that occur in it."""
     rows = stopwords.select("word").distinct().limit(max_list + 1).collect()
     if len(rows) > max_list:
-        raise ValueError(f"more than {max_list} stop words")
+        own = unnest(docs, F.array_distinct("words"), doc, name="word").join(stopwords.select("word").distinct(), "word", "left_semi")
+        own = own.groupBy(doc).agg(F.collect_set("word").alias("_stop"))
+        left = F.filter("words", lambda w: ~F.array_contains("_stop", w))
+        return docs.join(own, doc, "left").withColumn("words", F.when(F.col("_stop").isNull(), F.col("words")).otherwise(left)).drop("_stop")
     listed = [row["word"] for row in rows]
     return docs.withColumn("words", F.filter("words", lambda w: ~w.isin(*listed))) if listed else docs
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.functions.unnest import unnest
-from heatloom.operators.counts import count_by, explode_words, top_by_group
+from heatloom.functions.unnest import unnest, unnest_structs
+from heatloom.operators.counts import count_by, counts_in_row, top_by_group
 from heatloom.operators.order import zip_index
 
 SCORE_DIGITS = 9
@@ -22,7 +22,8 @@ def idf(n_docs, df) -> Column:
 
 
 def term_frequency(docs: DataFrame, keep: list[str] = ("doc_id",), words: str = "words") -> DataFrame:
-    return count_by(explode_words(docs, words, list(keep)), *keep, "term", name="tf")
+    """Terms of each row of ``docs`` with their counts. A row is a whole document, so nothing is shuffled."""
+    return unnest_structs(docs, counts_in_row(F.col(words)), *keep, required="term")
 
 
 def document_frequency(docs: DataFrame, words: str = "words", by: list[str] = ()) -> DataFrame:

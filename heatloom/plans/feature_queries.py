@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from heatloom.operators import classify, clusters, nearest, weights
 from heatloom.operators.counts import explode_words
-from heatloom.plans.fixtures import TF_SQL, TFIDF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, doc_words_by_id, labelled_docs
+from heatloom.plans.fixtures import TF_SQL, TFIDF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, labelled_docs
 from heatloom.plans.graph_queries import hot_words
 from heatloom.plans.registry import Tables, query
 from heatloom.plans.row_queries import CENTERS_SQL, vectors
@@ -17,7 +17,7 @@ from heatloom.functions.text import ws_words
 
 @query("term_frequency", TF_SQL)
 def term_frequency(t: Tables):
-    return weights.term_frequency(doc_words_by_id(t))
+    return weights.term_frequency(doc_words(t))
 
 
 @query("vocabulary", f"""SELECT term, cnt, row_number() OVER (ORDER BY cnt DESC, term) - 1 AS term_id
@@ -38,7 +38,7 @@ def hashing_tf(t: Tables):
 
 @query("tfidf", f"SELECT doc_id, term, tf, round(tfidf, 6) AS tfidf FROM ({TFIDF_SQL})")
 def tfidf(t: Tables):
-    return weights.tfidf(doc_words_by_id(t)).withColumn("tfidf", F.round("tfidf", 6))
+    return weights.tfidf(doc_words(t)).withColumn("tfidf", F.round("tfidf", 6))
 
 
 # A list of common words and one of uncommon words, the last in no document.
@@ -68,7 +68,7 @@ def doc_cosine(t: Tables):
     ids = t.documents.select("doc_id")
     following = ids.select((F.col("doc_id") - 1).alias("left_id"), F.col("doc_id").alias("right_id"))
     pairs = following.join(ids.select(F.col("doc_id").alias("left_id")), "left_id", "left_semi")
-    cosine = weights.cosine_pairs(weights.tfidf(doc_words_by_id(t)), pairs)
+    cosine = weights.cosine_pairs(weights.tfidf(doc_words(t)), pairs)
     return cosine.withColumn("cosine", F.round("cosine", 6))
 
 
@@ -147,13 +147,13 @@ def nearest_vectors(t: Tables):
 
 @query("word2vec")
 def word2vec(t: Tables):
-    model = nearest.fit_word2vec(doc_words(t), vector_size=50)
+    model = nearest.fit_word2vec(doc_words(t))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
     return nearest.word_vectors(model).select("term", F.size("v").alias("dims"), norm.alias("norm"))
 
 
 @query("hotword_synonyms")
 def hotword_synonyms(t: Tables):
-    model = nearest.fit_word2vec(doc_words(t), vector_size=50)
+    model = nearest.fit_word2vec(doc_words(t))
     docs = labelled_docs(t).select("prediction", ws_words(F.col("text")).alias("words"))
     return nearest.hotword_synonyms(hot_words(t), docs, model)

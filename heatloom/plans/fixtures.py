@@ -45,20 +45,10 @@ def texts(t: Tables, *columns: str) -> DataFrame:
     return spread(t.documents.select("doc_id", "text", *columns), "doc_id")
 
 
-def texts_by_id(t: Tables, *columns: str) -> DataFrame:
-    """Document texts partitioned by document: raw text is moved once, and whatever is grouped
-    by document afterwards stays where it is."""
-    return t.documents.select("doc_id", "text", *columns).repartition("doc_id")
-
-
 def doc_words(t: Tables) -> DataFrame:
     return texts(t).select("doc_id", ws_words(F.col("text")).alias("words"))
 
 
-def doc_words_by_id(t: Tables) -> DataFrame:
-    return texts_by_id(t).select("doc_id", ws_words(F.col("text")).alias("words"))
-
-
 def post_time(age_s: str = "age_s"):
     return F.expr(f"timestamp_ntz'{AS_OF}' - make_dt_interval(0, 0, 0, {age_s})")
 

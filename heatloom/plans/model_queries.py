@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from heatloom.functions.text import ws_words
 from heatloom.operators import classify, clusters, terms, topics, weights
 from heatloom.plans.feature_queries import NUMBERS_SQL, numbers
-from heatloom.plans.fixtures import TOKENS_SQL, doc_words, texts_by_id
+from heatloom.plans.fixtures import TOKENS_SQL, doc_words, texts
 from heatloom.plans.registry import Tables, query
 from heatloom.plans.row_queries import CENTER_DIST_SQL, CENTERS_SQL, STOPWORDS_SQL, WEIGHTED_F1_SQL, vectors
 
 # Iterations of the registered model fits.
-EM_ITER, SWEEP_ITER = 20, 10
+EM_ITER, SWEEP_ITER = topics.MAX_ITER, 10
 
 
 def fitted_topics(t: Tables, optimizer: str = "em"):
@@ -123,7 +123,7 @@ BAYES_SQL = """, cls AS (SELECT label, ln((count(*) + {s}) / ((SELECT count(*) F
 
 def split_docs(t: Tables):
     """News by language: ``(doc_id, label, text, split)``."""
-    docs = texts_by_id(t, "lang").withColumnRenamed("lang", "label")
+    docs = texts(t, "lang").withColumnRenamed("lang", "label")
     return classify.hash_split(docs, "doc_id")
 
 
@@ -173,7 +173,7 @@ def labelled_features(t: Tables):
     return classify.standardize(raw, "nonnegative", "features").select("doc_id", "label", "features", "nonnegative")
 
 
-STEPS = 3
+STEPS = classify.ITERATIONS
 GD_SQL = f"""WITH x AS ({NUMBERS_SQL}), z AS MATERIALIZED (SELECT doc_id, label,
  (n_chars - (SELECT avg(n_chars) FROM x)) / (SELECT stddev_samp(n_chars) FROM x) AS a,
  (n_words - (SELECT avg(n_words) FROM x)) / (SELECT stddev_samp(n_words) FROM x) AS b FROM x),
@@ -236,6 +236,4 @@ def holdout_sweep(t: Tables):
     rows = classify.hash_split(labelled_features(t), "doc_id")
     train, test = (rows.filter(F.col("split") == part) for part in ("train", "test"))
     grid = {f"l2={r}": classify.descent_fit(l2=r) for r in classify.HOLDOUT_L2_GRID}
-    parts = [classify.tune(train, part, grid).withColumn("part", F.lit(name))
-             for name, part in (("test", test), ("train", train))]
-    return parts[0].unionByName(parts[1])
+    return classify.tune_parts(train, {"test": test, "train": train}, grid)

@@ -15,7 +15,7 @@ from heatloom.operators.counts import count_by
 from heatloom.operators.order import row_index, zip_index, zip_rows
 from heatloom.operators.weights import joined_terms, term_frequency, tfidf, top_terms
 from heatloom.plans.fixtures import (
-    DOCS_SQL, POSTS_SQL, TF_SQL, TFIDF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, doc_words_by_id, labelled_docs, posts,
+    DOCS_SQL, POSTS_SQL, TF_SQL, TFIDF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, labelled_docs, posts,
 )
 from heatloom.plans.registry import Tables, query
 from heatloom.plans.source_queries import SEARCH_LOG_SQL, search_log
@@ -87,7 +87,7 @@ TOP_TERMS_SQL = """SELECT doc_id, term, tf, tfidf, "rank" FROM (SELECT *, row_nu
  (SELECT doc_id, string_agg(term, ' ' ORDER BY "rank") AS hotwords
  FROM ({TOP_TERMS_SQL.format(weights=TFIDF_SQL, n=4, score='tfidf')}) GROUP BY doc_id) USING (doc_id)""")
 def doc_hotwords(t: Tables):
-    hot = joined_terms(top_terms(tfidf(doc_words_by_id(t)), 4), ["doc_id"])
+    hot = joined_terms(top_terms(tfidf(doc_words(t)), 4), ["doc_id"])
     return t.documents.select("doc_id", "source", "n_chars").join(hot, "doc_id")
 
 
@@ -114,7 +114,7 @@ def stopword_anti(t: Tables):
  (SELECT unnest({WORDS_SQL}) FROM benchmark) GROUP BY doc_id""")
 def vocab_semi(t: Tables):
     known = t.benchmark.select(F.explode(ws_words(F.col("text"))).alias("term")).distinct()
-    terms = counts.explode_words(doc_words_by_id(t), keep=["doc_id"])
+    terms = counts.explode_words(doc_words(t), keep=["doc_id"])
     return count_by(terms.join(known, "term", "left_semi"), "doc_id", name="known_words")
 
 
@@ -161,7 +161,7 @@ def column_summary(t: Tables):
 @query("tfidf_minmax", f"""SELECT round(min(tfidf), 6) AS min_tfidf, round(max(tfidf), 6) AS max_tfidf
  FROM ({TFIDF_SQL}) WHERE tfidf <> 0""")
 def tfidf_minmax(t: Tables):
-    weights = tfidf(doc_words_by_id(t)).filter("tfidf <> 0")
+    weights = tfidf(doc_words(t)).filter("tfidf <> 0")
     return weights.agg(F.round(F.min("tfidf"), 6).alias("min_tfidf"),
                        F.round(F.max("tfidf"), 6).alias("max_tfidf"))
 
@@ -213,7 +213,7 @@ QUALITY_LONG_SQL = f"""SELECT model, label, prediction FROM (
 CONFUSION_SQL = """SELECT model, count(*) FILTER (label = 1 AND prediction = 1) AS tp,
  count(*) FILTER (label = 0 AND prediction = 1) AS fp, count(*) FILTER (label = 1) AS pos,
  count(*) FILTER (label = 0) AS neg FROM ({rows}) GROUP BY model"""
-AREAS_SQL = f"""SELECT model, (tp / pos::DOUBLE + 1 - fp / neg::DOUBLE) / 2 AS roc, CASE WHEN tp + fp = 0 THEN NULL ELSE
+AREAS_SQL = f"""SELECT model, (tp / pos::DOUBLE + 1 - fp / neg::DOUBLE) / 2 AS roc, CASE WHEN tp + fp = 0 THEN pos / (pos + neg)::DOUBLE ELSE
  (tp / pos::DOUBLE) * (tp / (tp + fp)::DOUBLE) + (1 - tp / pos::DOUBLE) *
  (tp / (tp + fp)::DOUBLE + pos / (pos + neg)::DOUBLE) / 2 END AS pr
  FROM ({CONFUSION_SQL.format(rows=QUALITY_LONG_SQL)})"""
@@ -279,13 +279,13 @@ def cluster_nearest_docs(t: Tables):
 @query("tfidf_top_terms", f"""SELECT doc_id, term, tf, round(tfidf, 6) AS tfidf, "rank"
  FROM ({TOP_TERMS_SQL.format(weights=TFIDF_SQL, n=3, score='tfidf')})""")
 def tfidf_top_terms(t: Tables):
-    return top_terms(tfidf(doc_words_by_id(t)), 3).withColumn("tfidf", F.round("tfidf", 6))
+    return top_terms(tfidf(doc_words(t)), 3).withColumn("tfidf", F.round("tfidf", 6))
 
 
 @query("tf_top_terms", f"""SELECT doc_id, term, tf, "rank" FROM (SELECT *, row_number() OVER (
  PARTITION BY doc_id ORDER BY tf DESC, term) AS "rank" FROM ({TF_SQL})) WHERE "rank" <= 5""")
 def tf_top_terms(t: Tables):
-    return top_terms(term_frequency(doc_words_by_id(t)), 5, score="tf")
+    return top_terms(term_frequency(doc_words(t)), 5, score="tf")
 
 
 @query("argmax_label", """SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS topic,

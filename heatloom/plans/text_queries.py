@@ -11,7 +11,7 @@ from heatloom.operators.counts import count_by, explode_words, positions, top_by
 from heatloom.operators.kwic import kwic
 from heatloom.operators.small import checked_broadcast
 from heatloom.operators.weights import best_first, group_tfidf
-from heatloom.plans.fixtures import AS_OF, CLUSTERS, DOCS_SQL, TF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, labelled_docs, post_time, texts, texts_by_id
+from heatloom.plans.fixtures import AS_OF, CLUSTERS, DOCS_SQL, TF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, labelled_docs, post_time, texts
 from heatloom.plans.registry import Tables, query
 from heatloom.plans.row_queries import STOPWORDS_SQL
 from heatloom.session import checkpoint_root, scratch_path
@@ -37,41 +37,42 @@ NEWS_TF_SQL = rf"""SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, lowe
 @query("tokenize_clean", f"""WITH tf AS ({NEWS_TF_SQL}) SELECT * FROM tf WHERE term IN
  (SELECT term FROM tf GROUP BY term HAVING sum(tf) >= 2)""")
 def tokenize_clean(t: Tables):
-    return terms.clean_terms(texts_by_id(t)).select("doc_id", "term", "tf")
-
-
-@query("chat_word_count", rf"""SELECT term, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(
- lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM conversations) WHERE length(term) > 1
- AND NOT regexp_full_match(term, '[0-9]*') AND term NOT IN ({STOPWORDS_SQL}) GROUP BY term""")
-def chat_word_count(t: Tables):
-    stop = t.spark.createDataFrame([(w,) for w in NEWS_STOPWORDS], "word string")
-    lexicon = t.benchmark.select(F.explode(ws_words(F.col("text"))).alias("word"))
-    cut = terms.segment_corpus(spread(t.conversations.select("conv_id", "text"), "conv_id"), lexicon, stop)
-    words = explode_words(cut).filter(~is_numeric(F.col("term")) & (F.length("term") > 1))
-    return count_by(words, "term").orderBy(F.col("cnt").desc(), "term")
+    return terms.clean_terms(texts(t)).select("doc_id", "term", "tf")
 
 
+# Words of ``source (text)``: runs of a-z cut by the benchmark's words, other runs as they are.
 SEGMENT_SQL = rf"""WITH RECURSIVE lexicon AS MATERIALIZED (SELECT DISTINCT word FROM
  (SELECT unnest({WORDS_SQL}) AS word FROM benchmark) WHERE regexp_full_match(word, '[a-z]{{1,7}}')),
- runs AS MATERIALIZED (SELECT run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text),
- '[a-z]+')) AS run FROM documents) GROUP BY run),
+ runs AS MATERIALIZED (SELECT run, count(*) AS times FROM (SELECT unnest(regexp_extract_all(lower(text),
+ '[a-z]+')) AS run FROM SOURCE) GROUP BY run),
  steps AS (SELECT run, 1 AS i, NULL::VARCHAR AS word FROM runs UNION ALL
  SELECT run, i + CASE WHEN w IS NULL THEN 1 ELSE length(w) END, w FROM (SELECT s.run, s.i,
  (SELECT max_by(l.word, length(l.word)) FROM lexicon l, range(1, 8) n(k)
  WHERE l.word = substring(s.run, s.i, n.k::INT) AND s.i + n.k - 1 <= length(s.run)) AS w
- FROM steps s WHERE s.i <= length(s.run)))
- SELECT word AS term, sum(times)::BIGINT AS cnt FROM steps JOIN runs USING (run)
- WHERE word IS NOT NULL AND word NOT IN ({STOPWORDS_SQL}) GROUP BY word"""
+ FROM steps s WHERE s.i <= length(s.run))),
+ others AS (SELECT unnest(regexp_extract_all(regexp_replace(lower(text), '[a-z]+', ' ', 'g'), '[\p{{L}}\p{{N}}]+')) AS word FROM SOURCE),
+ found AS (SELECT word, times FROM steps JOIN runs USING (run) WHERE word IS NOT NULL UNION ALL SELECT word, 1 FROM others)
+ SELECT word AS term, sum(times)::BIGINT AS cnt FROM found WHERE word NOT IN ({STOPWORDS_SQL}) AND EXTRA GROUP BY word"""
 
 
-@query("segment_corpus", SEGMENT_SQL)
-def segment_corpus_query(t: Tables):
-    """Text cut by the words of the benchmark items; only runs of plain letters are matched."""
+def cut_by_benchmark(t: Tables, docs, doc: str):
     stop = t.spark.createDataFrame([(w,) for w in NEWS_STOPWORDS], "word string")
     lexicon = t.benchmark.select(F.explode(ws_words(F.col("text"))).alias("word"))
-    cut = terms.segment_corpus(texts(t), lexicon, stop, dictionary_chars="a-z")
-    words = explode_words(cut).filter(F.col("term").rlike("^[a-z]+$"))
-    return count_by(words, "term")
+    return explode_words(terms.segment_corpus(docs, lexicon, stop, doc=doc, dictionary_chars="a-z"))
+
+
+@query("chat_word_count", SEGMENT_SQL.replace("SOURCE", "conversations").replace(
+    "EXTRA", "length(word) > 1 AND NOT regexp_full_match(word, '[0-9]*')"))
+def chat_word_count(t: Tables):
+    chats = spread(t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("line"), "text"), "line")
+    words = cut_by_benchmark(t, chats, "line").filter(~is_numeric(F.col("term")) & (F.length("term") > 1))
+    return count_by(words, "term").orderBy(F.col("cnt").desc(), "term")
+
+
+@query("segment_corpus", SEGMENT_SQL.replace("SOURCE", "documents").replace("EXTRA", "true"))
+def segment_corpus_query(t: Tables):
+    """Text cut by the words of the benchmark items."""
+    return count_by(cut_by_benchmark(t, texts(t), "doc_id"), "term")
 
 
 # A small lexicon of our own.

@@ -21,11 +21,14 @@ def write_lines(df: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small result table (one row per cluster, model or parameter) as a single CSV file."""
-    df.coalesce(1).write.csv(path, header=True)
+    """A small result table (one row per cluster, model or parameter) as a single CSV file; what comes before keeps its tasks."""
+    df.repartition(1).write.csv(path, header=True)
 
 
 def write_by_key(df: DataFrame, key: str, path: str, rows_per_file: int = 5_000_000) -> None:
-    """One folder per key. A heavy key is written by all tasks that hold rows of it."""
+    """One folder per key. Rows of a key meet in one task, those of a heavy key in as many as it fills files."""
+    sizes = df.groupBy(F.col(key).alias("folder")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
     folder = df.withColumn("folder", F.col(key))
+    folder = folder.join(sizes, folder["folder"].eqNullSafe(sizes["folder"]), "left").drop(sizes["folder"])
+    folder = folder.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.col("_files"))).repartition("folder", "_salt").drop("_salt", "_files")
     folder.write.option("maxRecordsPerFile", rows_per_file).partitionBy("folder").parquet(path)

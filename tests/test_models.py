@@ -52,7 +52,10 @@ def test_areas_equal_mllib(spark):
 def test_areas_without_a_positive_prediction(spark):
     frame = spark.createDataFrame([("m", 1, 0), ("m", 0, 0)], "model string, label int, prediction int")
     row = classify.hard_label_areas(frame).first()
-    assert row["pr"] is None and row["roc"] == 0.5
+    assert row["pr"] == 0.5 and row["roc"] == 0.5
+    frame = spark.createDataFrame([("m", int(k < 3), 0) for k in range(10)], "model string, label int, prediction int")
+    scores = frame.rdd.map(lambda r: (float(r.prediction), float(r.label)))
+    assert classify.hard_label_areas(frame).first()["pr"] == pytest.approx(BinaryClassificationMetrics(scores).areaUnderPR) == pytest.approx(0.3)
 
 
 def test_weighted_f1_equals_mllib(spark):
