@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,7 +27,26 @@ def build_session(app: str = "heatloom", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application, for clusters where it is not installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_heatloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, str(path.relative_to(root.parent)))
+    folder = tempfile.mkdtemp(prefix="heatloom-package-")  # Spark serves it to the workers from the driver
+    target = os.path.join(folder, "heatloom.zip")
+    Path(target).write_bytes(packed.getvalue())
+    sc.addPyFile(target)
+    sc._heatloom_shipped = True
 
 
 def checkpoint_root(spark: SparkSession) -> str:
