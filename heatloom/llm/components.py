@@ -23,18 +23,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, turns: int | None = None) -> DataFrame:
     """``(node, root)`` for every end of ``links(u, v)``; the root is the smallest node of the component.
 
-    Each turn moves minima and edges, never a component, so a component of any size is no single row or task.
+    Each turn moves minima and edges, never a component, so a component of any size is no single row or task. With
+    ``turns`` it stops early: nodes of one root are connected then, but a component may still have several roots.
     """
     edges = checkpointed(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
-    while True:
+    while turns is None or turns > 0:
+        if turns is not None:
+            turns -= 1
+            edges = checkpointed(_small_star(_large_star(edges)))
+            continue
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or state[0] == 0:
             break
         seen = state
         edges = checkpointed(_small_star(_large_star(edges)))
-    roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v"))
+    return ends.groupBy("node").agg(F.min("root").alias("root"))

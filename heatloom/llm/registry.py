@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heatloom.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
