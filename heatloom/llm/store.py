@@ -6,7 +6,7 @@ import atexit
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatloom.session import scratch_path
+from heatloom.session import remove_paths, scratch_path
 
 
 class Scratch:
@@ -31,11 +31,7 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         keys = [id(t) for t in tables] if tables else list(self.paths)
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for key in keys:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(key))
-            path.getFileSystem(conf).delete(path, True)
+        remove_paths(self.spark, [self.paths.pop(key) for key in keys])
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
