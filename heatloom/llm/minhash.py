@@ -5,8 +5,10 @@ keyed by the pair of half key i of the first and half key j of the second collec
 ``2 * ROWS`` hashes come from ``2 * HALVES * ROWS`` minimum hashes. Every candidate is checked on the full sets.
 
 Scale: equal sets are grouped first, so copies never meet as pairs. Half keys that occur once are dropped before pairs
-are formed. In a bucket candidates are met through pivots, and only members that are still in different components are
-compared further, so a large group of near copies costs a few rows per member.
+are formed. In a bucket candidates are met through a pivot, the member with most company, in the tables (i, i) first and
+then in all that are open; only members that are still in different components are compared further, each pair in one
+table alone, that of its first common half keys. A bitmap of each set bounds the similarity of a pair from above, which
+clears most false candidates before any text is moved.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ WIDTH = 5
 PERCENT = 75
 ROWS = 3  # hashes in a half key
 HALVES = 16  # half keys in each of the two collections
+BITMAP_WORDS = 16  # 64-bit words of the bitmap that bounds similarities
 
 _MULT = seeded(2 * HALVES * ROWS, 101)
 _FLIP = seeded(2 * HALVES * ROWS, 202)
@@ -60,24 +63,35 @@ def half_keys(items: np.ndarray) -> np.ndarray:
     return mix(groups + _SLOT)
 
 
-_SKETCH = "id {}, n long, f1 long, f2 long, halves array<long>"
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """One bit for each item, at a place given by its hash."""
+    bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
+    bits[(mix(items ^ U64(0x2545F4914F6CDD1D)) % U64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+_SKETCH = "id {}, n long, f1 long, f2 long, halves array<long>, bits array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, data, offsets in chunks(batch.column(1)):
-            n, f1, f2, halves = [], [], [], []
+            n, f1, f2, halves, bits = [], [], [], [], []
             for items in shingle_sets(data, offsets):
                 n.append(len(items))
                 f1.append(int(mix(items ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                 f2.append(int(mix(items ^ U64(0x14057B7EF767814F)).sum(dtype=np.uint64).view(np.int64)))
                 halves.append(half_keys(items) if len(items) else np.zeros(0, np.uint64))
-            at = np.concatenate([[0], np.cumsum([len(x) for x in halves])]).astype(np.int32)
-            flat = pa.array(signed(np.concatenate(halves)))
+                bits.append(bitmap(items))
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(at), flat)], names=["id", "n", "f1", "f2", "halves"])
+                 _lists(halves), _lists(bits)], names=["id", "n", "f1", "f2", "halves", "bits"])
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(signed(np.concatenate(arrays))))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +114,15 @@ def _near_sizes(a: str, b: str) -> F.Column:
     return F.expr(f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, id_type: T.DataType) -> DataFrame:
+def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, id_type: T.DataType) -> DataFrame:
     """Checked links among candidate pairs ``(a, b)``."""
+    for end in "ab":
+        side = reps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
+        pairs = pairs.join(side, end)
+    # an item whose bit the other set lacks is not in the other set
+    alone = "aggregate(zip_with(bits_{0}, bits_{1}, (x, y) -> bit_count(x & ~y)), 0, (s, c) -> s + c)"
+    common = F.least(F.col("n_a") - F.expr(alone.format("a", "b")), F.col("n_b") - F.expr(alone.format("b", "a")))
+    pairs = pairs.withColumn("most", common).filter(f"100 * most >= {PERCENT} * (n_a + n_b - most)").select("a", "b")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -110,16 +131,21 @@ def _links(pairs: DataFrame, texts: DataFrame, id_type: T.DataType) -> DataFrame
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """``(key, id, n)`` of the tables in which a set has company."""
+    """``(key, table, id, n)`` of the half keys' pairs that a set has in company."""
     halves = reps.select("id", "n", F.posexplode("halves").alias("slot", "half"))
     live = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
     own = halves.join(live, "half").groupBy("id", "n").agg(F.collect_list(F.struct("slot", "half")).alias("hs"))
-    own = own.select("id", "n",
-                     F.expr(f"transform(filter(hs, x -> x.slot < {HALVES}), x -> x.half)").alias("p"),
-                     F.expr(f"transform(filter(hs, x -> x.slot >= {HALVES}), x -> x.half)").alias("q"))
-    keys = own.filter("size(p) > 0 AND size(q) > 0").select(
-        "id", "n", F.explode(F.expr("flatten(transform(p, x -> transform(q, y -> xxhash64(x, y))))")).alias("key"))
-    return keys
+    own = own.select("id", "n", F.expr(f"filter(hs, x -> x.slot < {HALVES})").alias("p"), F.expr(f"filter(hs, x -> x.slot >= {HALVES})").alias("q"))
+    pairs = F.expr(f"""flatten(transform(p, x -> transform(q, y -> named_struct(
+        'key', xxhash64(x.half, y.half), 'table', cast(x.slot * {HALVES} + y.slot - {HALVES} AS int)))))""")
+    return own.filter("size(p) > 0 AND size(q) > 0").select("id", "n", F.inline(pairs))
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """Rows of buckets with two members or more. ``rank`` is smallest for the member with most company over all
+    buckets, the likely origin of a group of copies."""
+    own = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return keys.join(own, "key")
 
 
 def _by_pivot(buckets: DataFrame, order: F.Column) -> DataFrame:
@@ -131,17 +157,22 @@ def _by_pivot(buckets: DataFrame, order: F.Column) -> DataFrame:
 
 def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Buckets that still hold several components, with the component of each member."""
-    named = buckets.select("key", "id", "n").join(labels, buckets["id"] == labels["node"], "left").select(
-        "key", "id", "n", F.coalesce("root", "id").alias("comp"))
+    named = buckets.join(labels, buckets["id"] == labels["node"], "left").select(
+        "key", "table", "id", "n", F.coalesce("root", "id").alias("comp"))
     several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
     return named.join(several.select("key"), "key", "left_semi")
 
 
-def _cross_pairs(buckets: DataFrame) -> DataFrame:
-    a = buckets.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = buckets.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rows = a.join(b, "key").filter("a < b AND ca <> cb").filter(_near_sizes("na", "nb"))
-    return rows.select("a", "b").distinct()
+def _cross_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of members in different components, each once: in the table of their first common half keys."""
+    rows = buckets.join(reps.select("id", F.transform("halves", lambda h: F.hash(h)).alias("h")), "id")
+    a = rows.select("key", "table", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("h").alias("ha"))
+    b = rows.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("h").alias("hb"))
+    same = "array_position(zip_with(slice(ha, {0}, {1}), slice(hb, {0}, {1}), (x, y) -> x = y), true)"
+    first = F.expr(f"{same.format(1, HALVES)} = table div {HALVES} + 1 AND {same.format(HALVES + 1, HALVES)} = table % {HALVES} + 1")
+    near = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    met = a.join(b, (F.col("key") == F.col("key_b")) & F.expr("a < b AND ca <> cb") & near & first)
+    return met.select("a", "b")
 
 
 def _cross_count(buckets: DataFrame) -> int:
@@ -150,7 +181,7 @@ def _cross_count(buckets: DataFrame) -> int:
     return int((total.agg(F.sum("x")).first()[0] or 0) / 2)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pivot_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pivot_rounds: int = 2) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles``, ``component_id`` (smallest id reachable over links of
     at least 75 percent Jaccard similarity of word 5-grams) and ``kept`` (the row has that smallest id).
 
@@ -164,35 +195,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = rows.schema["id"].dataType
     sketch = scratch.table(rows.mapInArrow(_sketch, _SKETCH.format(id_type.simpleString())), "sketch")
     sets = sketch.filter("n > 0 AND id IS NOT NULL")
-    reps = sets.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("halves").alias("halves"))
+    reps = sets.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("halves").alias("halves"), F.first("bits").alias("bits"))
 
+    groups = reps.select("n", "f1", "f2", "id")
     keys = scratch.table(_buckets(reps), "keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    buckets = scratch.table(keys.join(shared, "key", "left_semi"), "buckets")
-    met = buckets.select("id").distinct()
+    buckets = scratch.table(_shared(keys), "buckets")
+    scratch.drop(keys)
+    met = scratch.table(buckets.groupBy("id").agg((-F.sum("c")).alias("rank")), "met")
     texts = scratch.table(rows.join(met, "id", "left_semi").distinct(), "texts")
+    reps = scratch.table(reps.join(met, "id", "left_semi").select("id", "n", "bits", "halves"), "sets")
 
     links = None
-    open_ = buckets.withColumn("comp", F.col("id"))
-    labels = None
-    for turn in range(pivot_rounds + 1):
-        if turn:
+    for turn in range(pivot_rounds + 2):
+        if turn == 0:
+            open_ = buckets.filter(f"table % {HALVES + 1} = 0").join(met, "id").withColumn("comp", F.col("id"))
+            last, order = False, F.col("rank")
+        else:
             open_ = scratch.table(_open_buckets(buckets, labels), "open")
             size = open_.count()
             if not size:
                 break
-        last = turn == pivot_rounds or turn and _cross_count(open_) <= 8 * size
-        order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        pairs = _cross_pairs(open_) if last else _by_pivot(open_, order)
-        found = _links(pairs, texts, id_type)
+            last, order = turn > pivot_rounds or _cross_count(open_) <= 8 * size, F.xxhash64("id", F.lit(turn))
+        pairs = _cross_pairs(open_, reps) if last else _by_pivot(open_, order)
+        found = _links(pairs, reps, texts, id_type)
         links = checkpointed(found if links is None else links.union(found))
-        labels = checkpointed(components(links))
+        if turn:
+            scratch.drop(open_)
         if last:
             break
+        labels = checkpointed(components(links, turns=1))  # enough to leave out most pairs
+    labels = checkpointed(components(links))
 
     # equal sets share the smallest id of the group; a repeated id ties its texts together
     named = sets.select("id", "n", "f1", "f2").join(
-        reps.select("n", "f1", "f2", F.col("id").alias("rep")), ["n", "f1", "f2"]).select("id", "rep")
+        groups.select("n", "f1", "f2", F.col("id").alias("rep")), ["n", "f1", "f2"]).select("id", "rep")
     named = named.join(labels, named["rep"] == labels["node"], "left").select(
         "id", F.coalesce("root", "rep").alias("root")).distinct()
     ties = named.groupBy("id").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
