@@ -7,8 +7,8 @@
    the matching statistics of each place are streamed (``runindex``). A place whose match is long enough starts a
    repeated window. Equal contexts of a block are indexed once.
 3. An anchor found at more than ``HOT`` places (a passage in a part of all documents) would make a block without bound.
-   Its windows are counted one by one by 128-bit hashes instead, combined on the map side, which splits it to any
-   number of tasks.
+   Its windows are counted by 128-bit hashes instead, combined on the map side, which splits it to any number of tasks:
+   strips of ``STRIP`` windows first, then the single windows of strips that stand alone (and of one copy of the others).
 
 Equal texts are worked on once. No place is left out: every window has an anchor, and each anchor is either unique
 (the window is unique), indexed, or counted.
@@ -31,7 +31,9 @@ from heatloom.llm.windows import anchors, cuts
 LENGTH = 400
 HOT = 1000
 BLOCK_BYTES = 300_000
+STRIP = 32
 _SECOND = seeded(256, 77)
+_NOTHING = np.zeros(0, np.int64)
 _BASE = 0xA24BAED4963EE407
 
 
@@ -69,7 +71,7 @@ def _contexts(length: int):
         for batch in batches:
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             wanted, hot = batch.column(3), batch.column(4)
-            out: dict[str, list] = {"key": [], "k2": [], "row": [], "at": [], "n": [], "context": []}
+            out: dict[str, list] = {name: [] for name in ("key", "k2", "row", "at", "n", "context", "w1", "w2")}
             size = 0
             for i, data in enumerate(_each(batch, 2)):
                 place, value, first = anchors(data, length)
@@ -97,19 +99,27 @@ def _contexts(length: int):
                         out["at"].append(places.astype(np.int32))
                         out["n"].append(int(c[k]))
                         out["context"].append(context)
+                        out["w1"].append(_NOTHING)
+                        out["w2"].append(_NOTHING)
                         size += len(context)
                 if warm.any():
-                    h1 = signed(window_hashes(BYTE_VALUES[data], length))
-                    h2 = signed(window_hashes(_SECOND[data], length))
-                    mask = np.repeat(warm, number)
-                    starts = np.flatnonzero(mask)
-                    out["key"] += h1[starts].tolist()
-                    out["k2"] += h2[starts].tolist()
-                    out["row"] += [i] * len(starts)
-                    out["at"] += list(starts.astype(np.int32).reshape(-1, 1))
-                    out["n"] += [1] * len(starts)
-                    out["context"] += [None] * len(starts)
-                    size += 40 * len(starts)
+                    h1, h2 = window_hashes(BYTE_VALUES[data], length), window_hashes(_SECOND[data], length)
+                    for p, f, c in zip(place[warm].tolist(), first[warm].tolist(), number[warm].tolist()):
+                        # strips lie at fixed distances from the anchor, so that copies are cut alike
+                        edges = [f, *range(f + (p - f) % STRIP + 1, f + c, STRIP), f + c]
+                        for a, b in zip(edges[:-1], edges[1:]):
+                            if a == b:
+                                continue
+                            for name, h, seed in (("key", h1, 17), ("k2", h2, 29)):
+                                sums = mix(h[a:b] + seeded(b - a, seed)).sum(dtype=np.uint64)
+                                out[name].append(int(mix(sums.reshape(1) + U64(p - a)).view(np.int64)[0]))
+                            out["row"].append(i)
+                            out["at"].append(np.array([a], np.int32))
+                            out["n"].append(b - a)
+                            out["context"].append(None)
+                            out["w1"].append(signed(h1[a:b]))
+                            out["w2"].append(signed(h2[a:b]))
+                            size += 16 * (b - a) + 60
                 if size > 4_000_000:
                     yield _context_batch(out, t1, t2)
                     out, size = {k: [] for k in out}, 0
@@ -120,12 +130,16 @@ def _contexts(length: int):
 
 def _context_batch(out: dict[str, list], t1: np.ndarray, t2: np.ndarray) -> pa.RecordBatch:
     row = np.array(out["row"], np.int64)
-    at = np.concatenate([[0], np.cumsum([len(x) for x in out["at"]])]).astype(np.int32)
-    flat = np.concatenate(out["at"]) if out["at"] else np.zeros(0, np.int32)
+    lists = [_lists(out["at"], np.int32), _lists(out["w1"], np.int64), _lists(out["w2"], np.int64)]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.array(out["key"], np.int64)), pa.array(np.array(out["k2"], np.int64)), pa.array(t1[row]), pa.array(t2[row]),
-         pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(out["n"], pa.int32()), pa.array(out["context"], pa.binary())],
-        names=["key", "k2", "t1", "t2", "at", "n", "context"])
+         lists[0], pa.array(out["n"], pa.int32()), pa.array(out["context"], pa.binary()), *lists[1:]],
+        names=["key", "k2", "t1", "t2", "at", "n", "context", "w1", "w2"])
+
+
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, kind)))
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,13 +272,11 @@ def repeated(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot:
     scratch.drop(rows)
 
     places = scratch.table(texts.mapInArrow(
-        _contexts(length), "key long, k2 long, t1 long, t2 long, at array<int>, n int, context binary"), "contexts")
+        _contexts(length), "key long, k2 long, t1 long, t2 long, at array<int>, n int, context binary, w1 array<long>, w2 array<long>"), "contexts")
     cold = places.filter("context IS NOT NULL").repartition("key").sortWithinPartitions("key")
     found = cold.select("key", "t1", "t2", "at", "n", "context").mapInArrow(
         _found(length, block_bytes), "t1 long, t2 long, a int, b int")
-    windows = places.filter("context IS NULL").select("key", "k2", "t1", "t2", F.col("at")[0].alias("a"))
-    twice = windows.groupBy("key", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "k2")
-    counted = windows.join(twice, ["key", "k2"]).select("t1", "t2", "a", (F.col("a") + 1).alias("b"))
+    counted = _counted(places.filter("context IS NULL").select("key", "k2", "t1", "t2", F.col("at")[0].alias("a"), "n", "w1", "w2"))
     runs = found.unionByName(counted).groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
     shared = _named(docs, text_col).filter(F.octet_length("text") >= length).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"))
@@ -277,6 +289,19 @@ def repeated(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot:
     return out
 
 
+def _counted(strips: DataFrame) -> DataFrame:
+    """Runs of repeated windows of hot anchors: strips found twice, and windows of the others found twice."""
+    counts = strips.groupBy("key", "k2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("t1", "t2", "a")).alias("one"))
+    rows = strips.join(counts, ["key", "k2"])
+    whole = rows.filter("c > 1").select("t1", "t2", "a", (F.col("a") + F.col("n")).alias("b"))
+    single = rows.filter(F.col("one") == F.struct("t1", "t2", "a")).select(
+        "t1", "t2", "a", (F.col("c") == 1).alias("alone"), F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    single = single.select("t1", "t2", (F.col("a") + F.col("i")).alias("a"), "alone", F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
+    twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
+    hits = single.filter("alone").join(twice, ["w1", "w2"]).select("t1", "t2", "a", (F.col("a") + 1).alias("b"))
+    return whole.unionByName(hits)
+
+
 def _whole(docs: DataFrame, text_col: str, shared: DataFrame) -> DataFrame:
     """Texts that occur more than once lose everything."""
     sizes = _named(docs, text_col).select("t1", "t2", F.octet_length("text").alias("size")).join(shared, ["t1", "t2"])
