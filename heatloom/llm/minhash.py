@@ -114,15 +114,19 @@ def _near_sizes(a: str, b: str) -> F.Column:
     return F.expr(f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})")
 
 
+def _can_link(n_a: str, bits_a: str, n_b: str, bits_b: str) -> F.Column:
+    """Whether the bitmaps allow the similarity: an item whose bit the other set lacks is not in the other set."""
+    alone = "aggregate(zip_with({0}, {1}, (x, y) -> bit_count(x & ~y)), 0, (s, c) -> s + c)"
+    most = f"least({n_a} - {alone.format(bits_a, bits_b)}, {n_b} - {alone.format(bits_b, bits_a)})"
+    return F.expr(f"(100 + {PERCENT}) * {most} >= {PERCENT} * ({n_a} + {n_b})")
+
+
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, id_type: T.DataType) -> DataFrame:
     """Checked links among candidate pairs ``(a, b)``."""
     for end in "ab":
         side = reps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
         pairs = pairs.join(side, end)
-    # an item whose bit the other set lacks is not in the other set
-    alone = "aggregate(zip_with(bits_{0}, bits_{1}, (x, y) -> bit_count(x & ~y)), 0, (s, c) -> s + c)"
-    common = F.least(F.col("n_a") - F.expr(alone.format("a", "b")), F.col("n_b") - F.expr(alone.format("b", "a")))
-    pairs = pairs.withColumn("most", common).filter(f"100 * most >= {PERCENT} * (n_a + n_b - most)").select("a", "b")
+    pairs = pairs.filter(_can_link("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -164,14 +168,15 @@ def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of members in different components, each once: in the table of their first common half keys."""
-    rows = buckets.join(reps.select("id", F.transform("halves", lambda h: F.hash(h)).alias("h")), "id")
-    a = rows.select("key", "table", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("h").alias("ha"))
-    b = rows.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("h").alias("hb"))
+    """Pairs of members in different components, each once: in the table of their first common half keys. The bitmaps
+    are compared inside the join, so only pairs that can be links leave it."""
+    rows = buckets.join(reps.select("id", "bits", F.transform("halves", lambda h: F.hash(h)).alias("h")), "id")
+    a = rows.select("key", "table", *[F.col(c).alias(f"{d}a") for c, d in (("id", ""), ("n", "n"), ("comp", "c"), ("h", "h"), ("bits", "b"))])
+    b = rows.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{d}b") for c, d in (("id", ""), ("n", "n"), ("comp", "c"), ("h", "h"), ("bits", "b"))])
     same = "array_position(zip_with(slice(ha, {0}, {1}), slice(hb, {0}, {1}), (x, y) -> x = y), true)"
     first = F.expr(f"{same.format(1, HALVES)} = table div {HALVES} + 1 AND {same.format(HALVES + 1, HALVES)} = table % {HALVES} + 1")
     near = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    met = a.join(b, (F.col("key") == F.col("key_b")) & F.expr("a < b AND ca <> cb") & near & first)
+    met = a.join(b, (F.col("key") == F.col("key_b")) & F.expr("a < b AND ca <> cb") & near & first & _can_link("na", "ba", "nb", "bb"))
     return met.select("a", "b")
 
 
