@@ -161,3 +161,19 @@ def test_frequent_lines_go(spark):
     assert 500 not in kept and 501 not in kept and 502 not in kept
     verdict = {r.doc_id: r for r in quality.judge(frame).collect()}
     assert verdict[3].kept and verdict[3].n_left == 60 and not verdict[500].kept and not verdict[501].kept
+
+
+def test_blocks_of_fixed_lines_go(spark):
+    head, foot = "Home\nLogin\nCart", "About us\nTerms 2021\nContact"
+    body = lambda k: " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(k, f"{head}\n{body(k)}\n{foot}", "h", 999) for k in range(120)]
+    rows += [(200 + k, f"{head}\n{body(7)}\n{foot}", "copies", 5) for k in range(120)]  # one distinct document
+    rows += [(400 + k, (head + "\n" + foot + "\n") * 9 + f"only{chr(97 + k)} this", "h", 5) for k in range(5)]
+    frame = docs(spark, rows)
+    assert {(r._host, r["count"]) for r in quality.frequent_lines(frame).groupBy("_host").count().collect()} == {("h", 6)}
+    kept = {r.doc_id: r.text for r in quality.clean(frame).collect()}
+    assert all(kept[k] == body(k) for k in range(120))
+    assert not kept.keys() & set(range(400, 405))  # depleted or repeated
+    verdict = {r.doc_id: r for r in quality.judge(frame).collect()}
+    assert all(verdict[k].n_left == 60 for k in range(120)) and all(verdict[k].n_left == 2 for k in range(400, 405))
+    assert all(verdict[k].n_left == verdict[k].n_words for k in range(200, 320))
