@@ -32,8 +32,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, their digest and that of the text they decode to."""
-    return bpe.digests(docs, bpe_queries.RANKS)
+    """Ids of every text, their digest and that of the text they decode to, with slot and place in the mixture.
+
+    Files that are read again come in any order, so the mixture is carried by columns: it depends on ids and sources only,
+    which the stage before leaves as they are.
+    """
+    return mixing.with_places(bpe.digests(docs, bpe_queries.RANKS), docs)
 
 
 STAGES = [
@@ -49,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written as Parquet and read again."""
+    """The stages over ``documents``, each written as Parquet and read again; the result in the order of the mixture."""
     ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
@@ -58,4 +62,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(path)
     path = scratch_path(spark, "pipeline-result")
     STAGES[-1][1](spark, docs, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).orderBy(*mixing.mixture_order())

@@ -11,7 +11,7 @@ When a source has no more blocks its slots stay empty and the others go on: noth
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.llm.store import Scratch
@@ -102,12 +102,30 @@ def mix_order(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "
                       F.expr("(block div quota) * period + _slot").alias("slot"), "place")
 
 
+def _places(docs: DataFrame, *how) -> DataFrame:
+    """``(_id, _at)``: the first slot and place of each id, by ``mix_order``."""
+    order = mix_order(docs, *how)
+    return order.groupBy(F.col(order.columns[0]).alias("_id")).agg(F.min(F.struct("slot", "place")).alias("_at"))
+
+
+def with_places(rows: DataFrame, docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id",
+                source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+    """``rows`` (made of ``docs``, same ids) with their ``slot`` and ``place`` in the mixture of ``docs``, sorted by them."""
+    order = _places(docs, weights, id_col, source_col, block_docs, period)
+    out = rows.join(order, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    out = out.select(*rows.columns, F.col("_at.slot").alias("slot"), F.col("_at.place").alias("place"))
+    return out.orderBy(*mixture_order(id_col))
+
+
+def mixture_order(id_col: str = "doc_id") -> list[Column]:
+    return [F.col("slot").asc_nulls_last(), F.col("place").asc_nulls_last(), F.col(id_col)]
+
+
 def mixed(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source",
           block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
     """All rows of ``docs``, unchanged, in the order of the mixture (rows that share an id stay together)."""
     names = docs.columns
-    order = mix_order(docs, weights, id_col, source_col, block_docs, period)
-    order = order.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct("slot", "place")).alias("_at"))
+    order = _places(docs, weights, id_col, source_col, block_docs, period)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_key"))
     rows = rows.join(order, F.col("_key").eqNullSafe(F.col("_id")), "left")
     rows = rows.orderBy(F.col("_at.slot").asc_nulls_last(), "_at.place", "_key")

@@ -66,3 +66,15 @@ def test_stages_on_awkward_rows(spark):
         docs = docs.cache()
         assert docs.count() > 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_result_is_in_the_order_of_the_mixture(spark):
+    from heatloom.llm.mixing_queries import OP7_SQL
+
+    got = [(r.doc_id, r.slot, r.place) for r in corpus_pipeline.run(spark, ROOT).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE kept (doc_id BIGINT)")
+    con.executemany("INSERT INTO kept VALUES (?)", [(d,) for d in plain(f"{ROOT}/documents.parquet")])
+    con.execute(f"CREATE TABLE documents AS SELECT doc_id, source FROM read_parquet('{ROOT}/documents.parquet') JOIN kept USING (doc_id)")
+    want = con.execute(f"SELECT doc_id, slot, place FROM ({OP7_SQL}) ORDER BY slot, place, doc_id").fetchall()
+    assert got == want and len({r[1] for r in got}) > 5
