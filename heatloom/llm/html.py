@@ -38,36 +38,50 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPE = {"html", "body", "table", "td", "th", "ul", "ol", "dl", "article", "main", "section", "div", "aside", "nav", "blockquote", "form", "header", "footer"}
 
 _TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[!?/][^>]*>)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: What stands in a head; any other element and any text ends it.
+HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+#: Of the words in NOISE those of what readers write, which can be longer than the article.
+REPLIES = {"comment", "comments", "commentlist", "disqus", "replies", "respond"}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "noise", "words", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, noise: bool = False):
+    def __init__(self, name: str, parent: Node | None, noise: bool = False, words: set[str] = frozenset()):
         self.name, self.parent, self.noise = name, parent, noise
+        self.words = words  # class and id words that may mark noise
         self.parts: list = []  # child nodes and strings, in page order
+        self.clear()
+
+    def clear(self) -> None:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
+    @property
+    def plain(self) -> int:
+        return self.chars - self.link_chars
+
 
-def _is_noise(name: str, attributes: str) -> bool:
+def _marks(name: str, attributes: str) -> tuple[bool, set[str]]:
+    """Whether an element is noise by its name, role or hiddenness, and its class and id words that may mark noise."""
+    words: set[str] = set()
     if name in DROPPED:
-        return True
+        return True, words
     if not attributes or name in ("body", "html", "main"):
-        return False
+        return False, words
     noise = NOISE if name != "article" else {"comment", "comments", "teaser"}
     for key, value in _ATTR.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, words
         if key == "role":
             if value.lower() in ROLES:
-                return True
-        elif not noise.isdisjoint([w.lower() for w in _NAME.findall(value)] + re.split("[^a-z]+", value.lower())):
-            return True
-    return False
+                return True, words
+        elif key in ("class", "id"):
+            words |= noise.intersection([w.lower() for w in _NAME.findall(value)] + re.split("[^a-z]+", value.lower()))
+    return False, words
 
 
 def parse(page: str) -> Node:
@@ -76,11 +90,13 @@ def parse(page: str) -> Node:
     here, at, end = root, 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
+        stop = end if m is None else m.start()
+        if here.name == "head" and page[at:stop].strip():
+            here = here.parent
+        if stop > at:
+            here.parts.append(page[at:stop])
         if m is None:
-            here.parts.append(page[at:])
             break
-        if m.start() > at:
-            here.parts.append(page[at:m.start()])
         at = m.end()
         name = m[2]
         if name is None:
@@ -96,13 +112,16 @@ def parse(page: str) -> Node:
             if node is not None and node.parent is not None:
                 here = node.parent
             continue
+        if here.name == "head" and name not in HEAD and name != "html":
+            here = here.parent
         if name in ("html", "body"):
             continue
         if name in BLOCK:
             here = _close(here, {"p"})
         if name in CLOSED_BY:
             here = _close(here, CLOSED_BY[name])
-        node = Node(name, here, _is_noise(name, m[3]) or name == "header" and not _inside(here, "article", "main"))
+        noise, words = _marks(name, m[3])
+        node = Node(name, here, noise or name == "header" and not _inside(here, "article", "main"), words)
         here.parts.append(node)
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
@@ -167,13 +186,50 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _article(root: Node) -> list[Node]:
-    """The subtrees that hold the main text, in page order."""
-    order = _measure(root)
-    core, best = root, -math.inf
+def _core(order: list[Node]) -> Node:
+    core, best = order[-1], -math.inf
     for node in order:  # children first, so the innermost of equals wins
         if node.total > best and node.chars:
             core, best = node, node.total
+    return core
+
+
+def _judge_words(order: list[Node]) -> None:
+    """Makes noise of the nodes with such class or id words, but not of one that holds the core or half of the plain text.
+
+    A node without an article or main element is noise all the same when there is one with text outside it, and so is
+    one named after replies unless it has ten times the plain text of the rest.
+    """
+    root, way, node = order[-1], set(), _core(order)
+    while node is not None and (way or node.total > 0):  # without links all densities are zero and only the share tells
+        way.add(node)
+        node = node.parent
+    bodies = [n for n in order if n.name in ("article", "main") and n.plain and not n.words]
+    above = [set(_ancestors(n)) for n in bodies]
+    for node in order:
+        if node.words:
+            holds = any(node in up for up in above)
+            spared = node in way or 2 * node.plain >= max(root.plain, 1)
+            if bodies and not holds or not holds and node.words & REPLIES and node.plain < 10 * (root.plain - node.plain):
+                spared = False
+            node.noise = not spared and not (holds and all(node in up for up in above))
+
+
+def _ancestors(node: Node) -> Iterator[Node]:
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
+def _article(root: Node) -> list[Node]:
+    """The subtrees that hold the main text, in page order."""
+    order = _measure(root)
+    if any(node.words for node in order):
+        _judge_words(order)
+        for node in order:
+            node.clear()
+        order = _measure(root)
+    core = _core(order)
     whole = core
     node = core
     while node is not None:

@@ -177,3 +177,19 @@ def test_blocks_of_fixed_lines_go(spark):
     verdict = {r.doc_id: r for r in quality.judge(frame).collect()}
     assert all(verdict[k].n_left == 60 for k in range(120)) and all(verdict[k].n_left == 2 for k in range(400, 405))
     assert all(verdict[k].n_left == verdict[k].n_words for k in range(200, 320))
+
+
+def test_articles_in_odd_pages_stay():
+    text = "<p>" + "word " * 40 + "</p><p>" + "more " * 30 + "</p>"
+    want = ("word " * 40).strip() + "\n" + ("more " * 30).strip()
+    for mark in ('style="overflow:hidden"', 'data-title="Hidden gems"', "data-class='nav menu'", "class=has-sidebar", 'class="with-sidebar"',
+                 "class='widget-content'", "id=share-enabled", "class=post-with-comments"):
+        assert html.main_text(f"<body><div {mark}><div>{text}</div></div></body>") == want, mark
+        assert html.main_text(f"<body><div {mark}><article>{text}</article><div class=sidebar>s <p>t</p></div></div></body>") == want, mark
+    for head in ("<head><title>T</title>", "<head><title>T</title><body>", "<head><meta charset=x><link href=y><script>1</script><body class=b>"):
+        assert html.main_text(f"<html>{head}<div>{text}</div></html>") == want, head
+    assert html.main_text("<head><title>T</title>bare text") == "bare text"
+    # what is hidden or named after noise beside the article still goes
+    assert html.main_text(f"<body><div hidden>{text}</div><div>{text}</div></body>") == want
+    assert html.main_text(f"<body><div><div>{text}</div><div id=comments>{text * 3}</div></div></body>") == want
+    assert html.main_text(f"<body><article>{text}</article><div class=sidebar>{text * 5}</div></body>") == want
