@@ -13,7 +13,7 @@ from heatloom.plans.registry import Tables, query
 from heatloom.plans.row_queries import CENTER_DIST_SQL, CENTERS_SQL, STOPWORDS_SQL, WEIGHTED_F1_SQL, vectors
 
 # Iterations of the registered model fits.
-EM_ITER, SWEEP_ITER = topics.MAX_ITER, 10
+EM_ITER = topics.MAX_ITER
 
 
 def fitted_topics(t: Tables, optimizer: str = "em"):
@@ -56,7 +56,7 @@ def lda_online_terms(t: Tables):
 @query("lda_sweep")
 def lda_sweep(t: Tables):
     counted, _ = topics.count_vectors(doc_words(t))
-    return topics.sweep_topics(counted, topics.SWEEP_KS[:4], SWEEP_ITER)
+    return topics.sweep_topics(counted)
 
 
 @query("kmeans_fit")

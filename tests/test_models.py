@@ -141,3 +141,19 @@ def test_cosine_of_pairs(spark):
     got = {(r["left_id"], r["right_id"]): r["cosine"] for r in weights.cosine_pairs(weights.term_frequency(docs), pairs, "tf").collect()}
     assert got[(1, 2)] == pytest.approx(2 / math.sqrt(5) / math.sqrt(2))
     assert got[(2, 3)] == 0 and got[(1, 1)] == pytest.approx(1)
+
+
+def test_registered_sweep_is_the_whole_sweep(spark, monkeypatch):
+    from heatloom.operators import topics
+    from heatloom.plans.catalogue import QUERIES
+
+    fits = []
+
+    class Fitted:
+        class model:
+            logLikelihood = staticmethod(lambda vectors: -1.0)
+
+    monkeypatch.setattr(topics, "fit_topics", lambda vectors, terms, k, max_iter, *how: fits.append((k, max_iter)) or Fitted)
+    found = QUERIES["lda_sweep"](spark, "/root/testdata/sf0.001").collect()
+    assert [r.k for r in found] == [3, 5, 7, 10, 15, 20, 25, 30, 40, 50, 70, 100, 120, 150, 200, 500]
+    assert fits == [(r.k, 150) for r in found]
