@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from heatloom.llm import bpe_queries, host_queries, html_queries, lang_queries, mixing_queries, near_queries, passage_queries, quality_queries, repeat_queries, topk_queries  # noqa: F401
+from heatloom.llm import (  # noqa: F401
+    bpe_queries, host_queries, html_queries, lang_queries, mixing_queries, near_queries,
+    passage_queries, quality_queries, repeat_queries, topk_queries, warc_queries,
+)
 from heatloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
