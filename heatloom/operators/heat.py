@@ -46,10 +46,10 @@ def _support(sizes: DataFrame, corpus_size: int | None) -> DataFrame:
     return sizes.select("prediction", "post_num", (F.col("post_num") / total).alias("support"))
 
 
-def _measures(top: DataFrame) -> DataFrame:
+def _measures(top: DataFrame, by: tuple[str, ...] = ("prediction",)) -> DataFrame:
     """The measures of the top documents of each cluster."""
     entropy = F.sum(F.col("p") * F.log2("p"))
-    return top.groupBy("prediction").agg(
+    return top.groupBy(*by).agg(
         F.avg(_log_scaled("replies", REPLY_BASE)).alias("attention"),
         (-F.avg(_log_scaled("age_s", AGE_BASE))).alias("timeliness"),
         (F.var_pop("p") * F.sum("p")).alias("burst"),
@@ -69,6 +69,39 @@ def topic_heat(docs: DataFrame, take: int = TOP_DOCS, corpus_size: int | None =
     return support.join(_measures(top), "prediction").withColumn("heat", weighted_heat())
 
 
+TOP_FIELDS = ("p", "doc_id", "replies", "age_s")
+
+
+def window_tops(docs: DataFrame, step: str, take: int = TOP_DOCS) -> DataFrame:
+    """``(window_start, prediction, post_num, top)``: size and best ``take`` documents of each cluster at each step.
+
+    ``docs`` has ``doc_id, prediction, p, replies, time``; rows without a time or a cluster are left out. Ages are taken at the
+    end of the step. These rows merge: those of parts of a cluster may stand side by side.
+    """
+    rows = docs.filter("time IS NOT NULL AND prediction IS NOT NULL").withColumn("_w", F.window("time", step))
+    age = F.unix_timestamp("_w.end") - F.unix_timestamp(F.col("time").cast("timestamp"))
+    rows = rows.select(F.col("_w.start").alias("window_start"), "prediction", "p", "doc_id", F.col("replies").cast("long"), age.alias("age_s"))
+    by = ["window_start", "prediction"]
+    best = top_by_group(rows, by, [F.col("p").desc(), F.col("doc_id")], take)
+    top = best.groupBy(*by).agg(F.collect_list(F.struct(*TOP_FIELDS)).alias("top"))  # ``take`` entries at most
+    return count_by(rows, *by, name="post_num").join(top, by)
+
+
+def heat_by_window(tops: DataFrame, intensity: DataFrame | None = None, take: int = TOP_DOCS) -> DataFrame:
+    """The measures, the heat and with ``intensity`` the total heat of each cluster at each step.
+
+    A step's support is the cluster's share of the posts of that step, so a step has the values that ``topic_heat`` gives
+    for its posts alone.
+    """
+    by = ["window_start", "prediction"]
+    sizes = tops.groupBy(*by).agg(F.sum("post_num").alias("post_num"))
+    posts = sizes.groupBy("window_start").agg(F.sum("post_num").alias("_posts"))  # a row for each step
+    support = sizes.join(posts, "window_start").select(*by, "post_num", (F.col("post_num") / F.col("_posts")).alias("support"))
+    top = top_by_group(tops.select(*by, F.inline("top")), by, [F.col("p").desc(), F.col("doc_id")], take)
+    out = support.join(_measures(top, tuple(by)), by).withColumn("heat", weighted_heat())
+    return out if intensity is None else total_heat(out, intensity)
+
+
 def exchange_rows(docs: DataFrame, take: int = TOP_DOCS) -> DataFrame:
     """The top documents of each cluster in the order of the exchange format.
 

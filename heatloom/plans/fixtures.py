@@ -29,9 +29,9 @@ TFIDF_SQL = f"""SELECT tf.doc_id, tf.term, tf.tf,
  ON tf.term = d.term"""
 
 
-def labelled_docs(t: Tables) -> DataFrame:
+def labelled_docs(t: Tables, docs: DataFrame | None = None) -> DataFrame:
     """Documents with a given cluster, its probability, the reply count and the age."""
-    return t.documents.select(
+    return (t.documents if docs is None else docs).select(
         "doc_id", "text", "lang", "source",
         (F.col("doc_id") % CLUSTERS).alias("prediction"),
         (F.lit(0.3) + (F.col("doc_id") * 31 % 70) / F.lit(100.0)).alias("p"),

@@ -17,6 +17,8 @@ from heatloom.plans.row_queries import STOPWORDS_SQL
 from heatloom.session import checkpoint_root, scratch_path
 from heatloom.sources.readers import read_cluster_docs
 from heatloom.sources.sinks import write_delimited
+from heatloom.streaming.heat import stream_window_tops
+from heatloom.streaming.trend import write_available
 
 KWIC_WORDS = ["the", "sich", "avec"]
 MAX_TOP_DOCS = 100_000
@@ -213,6 +215,50 @@ def heat_trend(t: Tables):
                         "cnt", F.round("total", 4).alias("total"))
 
 
+DATE_STEP, LATENESS = "3 days", "1 day"
+# Posts of each step, the best 15 of each cluster in it, ages at the end of the step.
+HEAT_BY_DATE_SQL = f"""WITH d AS (SELECT doc_id, prediction, p, replies, TIMESTAMP '{AS_OF}' - to_seconds(age_s) AS posted FROM ({DOCS_SQL})),
+ w AS (SELECT *, time_bucket(INTERVAL '{DATE_STEP}', posted, TIMESTAMP '1970-01-01') AS window_start FROM d),
+ r AS (SELECT *, date_diff('second', posted, window_start + INTERVAL '{DATE_STEP}') AS age, count(*) OVER (PARTITION BY window_start)
+ AS posts, count(*) OVER (PARTITION BY window_start, prediction) AS post_num, row_number() OVER (PARTITION BY window_start, prediction
+ ORDER BY p DESC, doc_id) AS rn FROM w),
+ m AS (SELECT window_start, prediction, any_value(post_num) AS post_num, any_value(post_num) / any_value(posts)::DOUBLE AS support,
+ avg(log10(replies + 1)) / (10 * log10(20)) AS attention, -avg(log10(age + 1)) / (10 * log10(6000)) AS timeliness,
+ var_pop(p) * sum(p) AS burst, -1 / sum(p * log2(p)) AS purity FROM r WHERE rn <= 15 GROUP BY window_start, prediction),
+ h AS (SELECT *, 0.3 * support + 0.3 * attention + 0.2 * timeliness + 0.1 * burst + 0.1 * purity AS heat FROM m)
+ SELECT strftime(window_start, '%Y-%m-%d') AS "date", prediction, post_num, {ROUNDED_SQL},
+ round(heat + (1 + prediction / 10.0::DOUBLE) * 0.1, 6) AS total_heat FROM h"""
+
+
+def dated_docs(docs):
+    return docs.select("doc_id", "prediction", "p", "replies", post_time().cast("timestamp").alias("time"))
+
+
+def dated_heat(tops):
+    given = tops.select("prediction").distinct().withColumn("intensity", 1 + F.col("prediction") / F.lit(10.0))
+    rows = heat.heat_by_window(tops, given)
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("date"), "prediction", "post_num",
+                       *[F.round(m, 6).alias(m) for m in [*MEASURES, "total_heat"]])
+
+
+@query("heat_by_date", HEAT_BY_DATE_SQL)
+def heat_by_date(t: Tables):
+    """Total heat of each cluster at each date, from the posts of that date."""
+    return dated_heat(heat.window_tops(dated_docs(labelled_docs(t)), DATE_STEP))
+
+
+@query("heat_by_date_stream", f"""{HEAT_BY_DATE_SQL} WHERE window_start + INTERVAL '{DATE_STEP}'
+ < (SELECT max(posted) FROM d) - INTERVAL '{LATENESS}'""")
+def heat_by_date_stream(t: Tables):
+    """The same as a stream over the documents: the dates that are finished."""
+    docs = t.documents
+    posts = t.spark.readStream.schema(docs.schema).parquet(f"{t.root}/documents.parque[t]")  # a pattern may name a file too
+    tops = stream_window_tops(dated_docs(labelled_docs(t, posts)), DATE_STEP, LATENESS)
+    path = scratch_path(t.spark, "heat-tops")
+    write_available(tops, path).awaitTermination()
+    return dated_heat(t.spark.read.schema(tops.schema).parquet(path))
+
+
 # The IDF is fitted inside the top documents of each cluster.
 GROUP_TFIDF_SQL = f"""WITH top AS MATERIALIZED (SELECT doc_id, prediction FROM (SELECT *, row_number() OVER (PARTITION BY
  prediction ORDER BY p DESC, doc_id) AS rn FROM ({DOCS_SQL})) WHERE rn <= 15),

@@ -2,10 +2,13 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from heatloom.operators import heat
+from heatloom.streaming.heat import stream_window_tops
+from heatloom.streaming.trend import write_available
 
 # Published measures of 13 topics, timeliness without its sign, the last but one
 # the weighted intensity.
@@ -80,3 +83,66 @@ def test_heavy_cluster_is_cut_before_the_shuffle(spark, capsys):
     plan = capsys.readouterr().out
     shuffle = plan.index("Exchange")
     assert "WindowGroupLimit" in plan[:shuffle] and "WindowGroupLimit" in plan[shuffle:]
+
+
+POSTS = "doc_id long, prediction int, p double, replies int, time timestamp"
+
+
+def dated_posts(spark, n=600):
+    start = pd.Timestamp("2024-02-01", tz="UTC")
+    rows = [(k, k * k % 4, 0.3 + k * 31 % 70 / 100, k * 7919 % 251, (start + pd.Timedelta(minutes=97 * (k * 37 % n))).to_pydatetime())
+            for k in range(n)]
+    return spark.createDataFrame(rows, POSTS)
+
+
+def rounded(rows):
+    return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
+
+
+def test_each_date_has_the_heat_of_its_slice(spark):
+    posts = dated_posts(spark)
+    intensity = spark.createDataFrame([(k, 1.0 + k) for k in range(4)], "prediction int, intensity double")
+    found = heat.heat_by_window(heat.window_tops(posts, "3 days"), intensity).collect()
+    starts = {r["window_start"] for r in found}
+    assert len(starts) > 10
+    for start in sorted(starts)[:3]:
+        end = start + pd.Timedelta(days=3)
+        part = posts.filter((F.col("time") >= F.lit(start)) & (F.col("time") < F.lit(end)))
+        part = part.withColumn("age_s", F.unix_timestamp(F.lit(end)) - F.unix_timestamp("time"))
+        want = heat.total_heat(heat.topic_heat(part), intensity)
+        names = ["prediction", "post_num", "support", "heat", "total_heat"]
+        assert rounded(want.select(*names).collect()) == rounded(
+            tuple(r[n] for n in names) for r in found if r["window_start"] == start)
+
+
+def test_tops_of_parts_merge(spark):
+    posts = dated_posts(spark)
+    whole = heat.heat_by_window(heat.window_tops(posts, "3 days"))
+    halves = heat.window_tops(posts.filter("doc_id % 2 = 0"), "3 days").union(heat.window_tops(posts.filter("doc_id % 2 = 1"), "3 days"))
+    assert rounded(whole.collect()) == rounded(heat.heat_by_window(halves).select(*whole.columns).collect())
+
+
+def test_awkward_posts(spark):
+    rows = [(1, 0, 0.5, 3, None), (None, None, 0.5, None, pd.Timestamp("2024-02-01").to_pydatetime()),
+            (2, 0, None, 1, pd.Timestamp("2024-02-01").to_pydatetime()), (3, 0, 1.0, 1, pd.Timestamp("2024-02-01").to_pydatetime())]
+    found = heat.window_tops(spark.createDataFrame(rows, POSTS), "3 days").collect()
+    assert [(r["prediction"], r["post_num"]) for r in found] == [(0, 2)]
+    assert heat.heat_by_window(heat.window_tops(spark.createDataFrame([], POSTS), "3 days")).collect() == []
+
+
+def test_stream_gives_the_finished_dates(spark, tmp_path):
+    """Five files in the order of time, a file per batch, so the state lives through batches."""
+    posts = dated_posts(spark)
+    ends = posts.selectExpr("percentile(unix_timestamp(time), array(0.2, 0.4, 0.6, 0.8, 1))").first()[0]
+    low = 0
+    for k, high in enumerate(ends):
+        posts.filter((F.unix_timestamp("time") > low) & (F.unix_timestamp("time") <= high)).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        low = high
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    tops = stream_window_tops(stream, "3 days", "1 day", parts=3)
+    write_available(tops, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = heat.heat_by_window(spark.read.schema(tops.schema).parquet(f"{tmp_path}/out"))
+    last = posts.agg(F.max("time")).first()[0]
+    want = heat.heat_by_window(heat.window_tops(posts, "3 days")).withColumn("prediction", F.col("prediction").cast("long"))
+    want = want.filter(F.col("window_start") + F.expr("interval 3 days") < F.lit(last - pd.Timedelta(days=1)))
+    assert rounded(got.collect()) == rounded(want.select(*got.columns).collect()) and got.count() > 20
