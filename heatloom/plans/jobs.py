@@ -37,11 +37,10 @@ def hot_topics(posts: DataFrame, model: str = "lda", k: int = topics.K, max_iter
     out: dict[str, DataFrame] = {}
     if model == "lda":
         shape, order = LDA_SHAPE, [F.col("p").desc(), F.col("doc_id")]
-        counted, vocabulary = topics.count_vectors(docs.select("doc_id", "words"))
-        fitted = topics.fit_topics(counted, vocabulary, k, max_iter, optimizer, seed)
-        labels = fitted.assign(counted).select("doc_id", "prediction", "p", "distribution").checkpoint()
-        out["topic_terms"] = fitted.terms()
-        out["intensity"] = fitted.intensity(posts.sparkSession)
+        fitted = topics.fit_topics(docs.select("doc_id", "words"), k, max_iter, optimizer)
+        labels = fitted.assign().select("doc_id", "prediction", "p", "distribution").checkpoint()
+        out["topic_terms"] = fitted.terms(topics.TOPIC_TERMS)
+        out["intensity"] = fitted.intensity()
         if as_of is not None:
             aged = heat.post_age(docs.select("doc_id", "time", "replies"), as_of, fmt=time_format)
             placed = aged.join(labels, "doc_id")
@@ -121,12 +120,11 @@ def review_topics(segmented: DataFrame, targets: list[str] = REVIEW_TARGETS, k:
     from_hot = hot.select("doc_id", space_words(F.col("hotwords")).alias("words"))
     ranked = {"window": REVIEW_WINDOW, "top": REVIEW_KEYWORDS, "sweeps": sweeps, "cross_document": True,
               "order": ["doc_id"], "tolerance": 1e-6}
-    counted, vocabulary = topics.count_vectors(docs)
     return {
         "hot_words": segmented.join(hot.withColumnRenamed("doc_id", "index"), "index"),
         "keywords": tr.textrank(docs, [], **ranked),
         "hot_keywords": tr.textrank(from_hot, [], **ranked),
-        "topic_terms": topics.fit_topics(counted, vocabulary, k, max_iter, seed=seed).terms(),
+        "topic_terms": topics.fit_topics(docs, k, max_iter).terms(topics.TOPIC_TERMS),
         "contexts": kwic(docs, targets, cross_document=True),
     }
 

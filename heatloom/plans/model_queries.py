@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from heatloom.functions.text import ws_words
 from heatloom.operators import classify, clusters, terms, topics, weights
+from heatloom.operators.lda import em_scores
 from heatloom.plans.feature_queries import NUMBERS_SQL, numbers
-from heatloom.plans.fixtures import TOKENS_SQL, doc_words, texts
+from heatloom.plans.fixtures import TF_SQL, TOKENS_SQL, doc_words, texts
 from heatloom.plans.registry import Tables, query
 from heatloom.plans.row_queries import CENTER_DIST_SQL, CENTERS_SQL, STOPWORDS_SQL, WEIGHTED_F1_SQL, vectors
 
@@ -17,46 +18,80 @@ EM_ITER = topics.MAX_ITER
 
 
 def fitted_topics(t: Tables, optimizer: str = "em"):
-    counted, vocabulary = topics.count_vectors(doc_words(t))
-    counted = counted.select("doc_id", "counts")
-    return topics.fit_topics(counted, vocabulary, max_iter=EM_ITER, optimizer=optimizer), counted
+    return topics.fit_topics(doc_words(t), max_iter=EM_ITER, optimizer=optimizer)
 
 
 @query("lda_fit")
 def lda_fit(t: Tables):
-    fitted, counted = fitted_topics(t)
-    row = (fitted.model.describeTopics(1).count(), len(fitted.vocabulary), counted.count(),
-           float(fitted.model.trainingLogLikelihood()), float(fitted.model.logPrior()))
+    fitted = fitted_topics(t)
+    row = (fitted.model.k, fitted.terms_count, fitted.docs_count, *em_scores(fitted))
     return t.spark.createDataFrame(
         [row], "topics long, vocabulary long, docs long, log_likelihood double, log_prior double")
 
 
 @query("lda_topic_terms")
 def lda_topic_terms(t: Tables):
-    return fitted_topics(t)[0].terms()
+    return fitted_topics(t).terms(topics.TOPIC_TERMS)
 
 
 @query("topic_intensity")
 def topic_intensity(t: Tables):
-    return fitted_topics(t)[0].intensity(t.spark)
+    return fitted_topics(t).intensity()
+
+
+def listed(distribution: str):
+    return F.array_join(F.transform(distribution, lambda x: F.format_string("%.6f", x)), ",")
 
 
 @query("lda_assign")
 def lda_assign(t: Tables):
-    fitted, counted = fitted_topics(t)
-    return fitted.assign(counted).select("doc_id", "prediction", "p", F.array_join(
-        F.transform("distribution", lambda x: F.format_string("%.6f", x)), ",").alias("distribution"))
+    placed = fitted_topics(t).assign()
+    return placed.select("doc_id", "prediction", "p", listed("distribution").alias("distribution"))
 
 
 @query("lda_online_terms")
 def lda_online_terms(t: Tables):
-    return fitted_topics(t, "online")[0].terms()
+    return fitted_topics(t, "online").terms(topics.TOPIC_TERMS)
 
 
 @query("lda_sweep")
 def lda_sweep(t: Tables):
-    counted, _ = topics.count_vectors(doc_words(t))
-    return topics.sweep_topics(counted)
+    return topics.sweep_topics(doc_words(t))
+
+
+STEP_K, STEP_UPDATES = 3, 3
+# ``link`` has a row per document, term and topic; each update shares out the counts by the term's and the document's part.
+_HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+_START = "(({h} * (2 * k + 1) * 40503 + k * 12345) % 65537 + 1) / 65538.0::DOUBLE"
+EM_SQL = f"""tf AS MATERIALIZED ({TF_SQL}), v AS (SELECT count(DISTINCT term) AS v FROM tf),
+ link AS MATERIALIZED (SELECT doc_id, term, k, tf, {_HASH.format('term')} AS ht, {_HASH.format('doc_id::VARCHAR')} AS hd
+ FROM tf, range(0, {STEP_K}) r(k)),
+ f0 AS (SELECT doc_id, term, k, tf, {_START.format(h='ht')} * {_START.format(h='hd')} AS f FROM link)"""
+for _i in range(1, STEP_UPDATES + 1):
+    EM_SQL += f""", s{_i} AS MATERIALIZED (SELECT doc_id, term, k, tf, tf * f / sum(f) OVER (PARTITION BY doc_id, term) AS c FROM f{_i - 1}),
+ w{_i} AS MATERIALIZED (SELECT term, k, sum(c) AS n FROM s{_i} GROUP BY term, k),
+ d{_i} AS MATERIALIZED (SELECT doc_id, k, sum(c) AS n FROM s{_i} GROUP BY doc_id, k),
+ k{_i} AS MATERIALIZED (SELECT k, sum(n) AS n FROM w{_i} GROUP BY k),
+ f{_i} AS (SELECT s.doc_id, s.term, s.k, s.tf, (w.n + 0.1) / (t.n + v * 0.1) * (d.n + 50.0::DOUBLE / {STEP_K}) AS f FROM s{_i} s
+ JOIN w{_i} w ON s.term = w.term AND s.k = w.k JOIN d{_i} d ON s.doc_id = d.doc_id AND s.k = d.k JOIN k{_i} t ON s.k = t.k, v)"""
+
+
+@query("lda_em_steps", f"""WITH {EM_SQL} SELECT k::INTEGER AS topic, "rank"::INTEGER AS "rank", term, round(weight, 6) AS weight FROM (
+ SELECT w.k, term, w.n / t.n AS weight, row_number() OVER (PARTITION BY w.k ORDER BY round(w.n / t.n, 9) DESC, term) AS "rank"
+ FROM w{STEP_UPDATES} w JOIN k{STEP_UPDATES} t ON w.k = t.k) WHERE "rank" <= 50""")
+def lda_em_steps(t: Tables):
+    """Three updates of three topics: their fifty heaviest terms."""
+    fitted = topics.fit_topics(doc_words(t), STEP_K, STEP_UPDATES)
+    return fitted.terms(50).withColumn("weight", F.round("weight", 6))
+
+
+@query("lda_em_assign_steps", f"""WITH {EM_SQL} SELECT doc_id, any_value(prediction)::INTEGER AS prediction, round(max(share), 6) AS p,
+ round(min(share), 6) AS least FROM (SELECT doc_id, share, first_value(k) OVER (PARTITION BY doc_id ORDER BY share DESC, k) AS prediction
+ FROM (SELECT doc_id, k, n / sum(n) OVER (PARTITION BY doc_id) AS share FROM d{STEP_UPDATES})) GROUP BY doc_id""")
+def lda_em_assign_steps(t: Tables):
+    """Three updates of three topics: the likeliest topic of each document."""
+    placed = topics.fit_topics(doc_words(t), STEP_K, STEP_UPDATES).assign()
+    return placed.select("doc_id", "prediction", F.round("p", 6).alias("p"), F.round(F.array_min("distribution"), 6).alias("least"))
 
 
 @query("kmeans_fit")

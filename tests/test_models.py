@@ -148,12 +148,8 @@ def test_registered_sweep_is_the_whole_sweep(spark, monkeypatch):
     from heatloom.plans.catalogue import QUERIES
 
     fits = []
-
-    class Fitted:
-        class model:
-            logLikelihood = staticmethod(lambda vectors: -1.0)
-
-    monkeypatch.setattr(topics, "fit_topics", lambda vectors, terms, k, max_iter, *how: fits.append((k, max_iter)) or Fitted)
+    monkeypatch.setattr(topics, "fit_online", lambda docs, ks, max_iter: fits.append((ks, max_iter)))
+    monkeypatch.setattr(topics, "online_bounds", lambda fit: [(k, -1.0, 1.0) for k in fits[0][0]])
     found = QUERIES["lda_sweep"](spark, "/root/testdata/sf0.001").collect()
     assert [r.k for r in found] == [3, 5, 7, 10, 15, 20, 25, 30, 40, 50, 70, 100, 120, 150, 200, 500]
-    assert fits == [(r.k, 150) for r in found]
+    assert fits == [([r.k for r in found], 150)]
