@@ -4,11 +4,12 @@ Instead of one collection of band keys per table, two small collections of half
 keyed by the pair of half key i of the first and half key j of the second collection: ``HALVES ** 2`` tables of
 ``2 * ROWS`` hashes come from ``2 * HALVES * ROWS`` minimum hashes. Every candidate is checked on the full sets.
 
-Scale: equal sets are grouped first, so copies never meet as pairs. Half keys that occur once are dropped before pairs
-are formed. In a bucket candidates are met through a pivot, the member with most company, in the tables (i, i) first and
-then in all that are open; only members that are still in different components are compared further, each pair in one
-table alone, that of its first common half keys. A bitmap of each set bounds the similarity of a pair from above, which
-clears most false candidates before any text is moved.
+Scale: equal sets are grouped first, so copies never meet as pairs. Half keys that occur once are dropped. In the tables
+(i, i) candidates are met through a pivot, the member with most company; that joins most copies. Of the other tables only the
+half keys that still hold several components are looked at, and a pair meets under its first common half key of the first
+collection if it has one in the second too: a table is a condition there, not rows. Members of the largest component of a half
+key are not compared with each other. A bitmap of each set bounds the similarity of a pair from above, which clears
+most false candidates before any text is moved.
 """
 
 from __future__ import annotations
@@ -134,22 +135,21 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, id_type: T.DataT
     return rows.mapInArrow(_verify, schema)
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """``(key, table, id, n)`` of the half keys' pairs that a set has in company."""
+def _halves(reps: DataFrame) -> DataFrame:
+    """``(id, n, slot, half)`` of the half keys that two sets or more have; ids without one in both collections are left out."""
     halves = reps.select("id", "n", F.posexplode("halves").alias("slot", "half"))
     live = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
     own = halves.join(live, "half").groupBy("id", "n").agg(F.collect_list(F.struct("slot", "half")).alias("hs"))
-    own = own.select("id", "n", F.expr(f"filter(hs, x -> x.slot < {HALVES})").alias("p"), F.expr(f"filter(hs, x -> x.slot >= {HALVES})").alias("q"))
-    pairs = F.expr(f"""flatten(transform(p, x -> transform(q, y -> named_struct(
-        'key', xxhash64(x.half, y.half), 'table', cast(x.slot * {HALVES} + y.slot - {HALVES} AS int)))))""")
-    return own.filter("size(p) > 0 AND size(q) > 0").select("id", "n", F.inline(pairs))
+    both = F.exists("hs", lambda x: x.slot < HALVES) & F.exists("hs", lambda x: x.slot >= HALVES)
+    return own.filter(both).select("id", "n", F.inline("hs"))
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """Rows of buckets with two members or more. ``rank`` is smallest for the member with most company over all
-    buckets, the likely origin of a group of copies."""
-    own = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return keys.join(own, "key")
+def _diagonal(halves: DataFrame) -> DataFrame:
+    """Buckets ``(key, id, n, c)`` of the tables (i, i) with the number ``c`` of their members, two at least."""
+    pairs = halves.groupBy("id", "n", (F.col("slot") % HALVES).alias("i")).agg(
+        F.min(F.struct("slot", "half")).alias("p"), F.max(F.struct("slot", "half")).alias("q"))
+    rows = pairs.filter("p.slot < q.slot").select(F.xxhash64("p.half", "q.half").alias("key"), "id", "n")
+    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key")
 
 
 def _by_pivot(buckets: DataFrame, order: F.Column) -> DataFrame:
@@ -159,31 +159,52 @@ def _by_pivot(buckets: DataFrame, order: F.Column) -> DataFrame:
     return rows.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
-def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets that still hold several components, with the component of each member."""
-    named = buckets.join(labels, buckets["id"] == labels["node"], "left").select(
-        "key", "table", "id", "n", F.coalesce("root", "id").alias("comp"))
-    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    return named.join(several.select("key"), "key", "left_semi")
+def _open_halves(halves: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(half, slot, id, n, comp, most)`` of the first collection's half keys that still hold several components, of members that
+    have such a half key in the second collection too; ``most`` is the component with most members.
+
+    A pair meets in a table (i, j) only if it meets under both half keys, so the tables are never laid out: their members are
+    found from 16 rows a set instead of 256.
+    """
+    named = halves.join(labels, halves["id"] == labels["node"], "left").select("half", "slot", "id", "n", F.coalesce("root", "id").alias("comp"))
+    each = named.groupBy("half", "comp").agg(F.count(F.lit(1)).alias("c"))
+    several = each.groupBy("half").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    rows = named.join(several.select("half", F.col("m.comp").alias("most")), "half")
+    other = rows.filter(f"slot >= {HALVES}").select("id").distinct()
+    return rows.filter(f"slot < {HALVES}").join(other, "id", "left_semi")
+
+
+def _strays(open_: DataFrame) -> DataFrame:
+    return open_.filter("comp <> most")
 
 
-def _cross_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of members in different components, each once: in the table of their first common half keys. The bitmaps
-    are compared inside the join, so only pairs that can be links leave it."""
-    rows = buckets.join(reps.select("id", "bits", F.transform("halves", lambda h: F.hash(h)).alias("h")), "id")
-    a = rows.select("key", "table", *[F.col(c).alias(f"{d}a") for c, d in (("id", ""), ("n", "n"), ("comp", "c"), ("h", "h"), ("bits", "b"))])
-    b = rows.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{d}b") for c, d in (("id", ""), ("n", "n"), ("comp", "c"), ("h", "h"), ("bits", "b"))])
+def _open_pivots(open_: DataFrame, turn: int) -> DataFrame:
+    """Candidate pairs of a pivot of the largest component of each half key with the members of the others."""
+    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), F.col("id"), F.col("n"))
+    pivots = open_.filter("comp = most").groupBy("half").agg(F.min(order).alias("p"))
+    rows = _strays(open_).join(pivots, "half").filter(_near_sizes("n", "p.n"))
+    return rows.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+
+
+def _cross_pairs(open_: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of members in different components that share a table, each once: under their first common half key. One end is
+    outside the largest component of that half key, so its members are not compared with each other. The bitmaps are
+    compared inside the join, so only pairs that can be links leave it."""
+    rows = open_.join(reps.select("id", "bits", "halves"), "id")
+    a = _strays(rows).select("half", "slot", *[F.col(c).alias(f"{d}a") for c, d in (("id", ""), ("n", "n"), ("comp", "c"), ("halves", "h"), ("bits", "b"))])
+    b = rows.select(F.col("half").alias("half_b"), "most", *[F.col(c).alias(f"{d}b") for c, d in (("id", ""), ("n", "n"), ("comp", "c"), ("halves", "h"), ("bits", "b"))])
     same = "array_position(zip_with(slice(ha, {0}, {1}), slice(hb, {0}, {1}), (x, y) -> x = y), true)"
-    first = F.expr(f"{same.format(1, HALVES)} = table div {HALVES} + 1 AND {same.format(HALVES + 1, HALVES)} = table % {HALVES} + 1")
+    table = F.expr(f"{same.format(1, HALVES)} = slot + 1 AND {same.format(HALVES + 1, HALVES)} > 0")
     near = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    met = a.join(b, (F.col("key") == F.col("key_b")) & F.expr("a < b AND ca <> cb") & near & first & _can_link("na", "ba", "nb", "bb"))
-    return met.select("a", "b")
+    once = F.expr("ca <> cb AND (cb = most OR a < b)")
+    met = a.join(b, (F.col("half") == F.col("half_b")) & once & near & table & _can_link("na", "ba", "nb", "bb"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _cross_count(buckets: DataFrame) -> int:
-    each = buckets.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    total = each.groupBy("key").agg((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))).alias("x"))
-    return int((total.agg(F.sum("x")).first()[0] or 0) / 2)
+def _cross_count(open_: DataFrame) -> int:
+    """Comparisons that ``_cross_pairs`` would make."""
+    each = open_.groupBy("half").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("comp") != F.col("most")).alias("s"))
+    return int(each.agg(F.sum(F.col("c") * F.col("s"))).first()[0] or 0)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pivot_rounds: int = 2) -> DataFrame:
@@ -203,32 +224,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sets.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("halves").alias("halves"), F.first("bits").alias("bits"))
 
     groups = reps.select("n", "f1", "f2", "id")
-    keys = scratch.table(_buckets(reps), "keys")
-    buckets = scratch.table(_shared(keys), "buckets")
-    scratch.drop(keys)
-    met = scratch.table(buckets.groupBy("id").agg((-F.sum("c")).alias("rank")), "met")
+    halves = scratch.table(_halves(reps), "halves")
+    met = halves.select("id").distinct()
     texts = scratch.table(rows.join(met, "id", "left_semi").distinct(), "texts")
     reps = scratch.table(reps.join(met, "id", "left_semi").select("id", "n", "bits", "halves"), "sets")
 
-    links = None
-    for turn in range(pivot_rounds + 2):
-        if turn == 0:
-            open_ = buckets.filter(f"table % {HALVES + 1} = 0").join(met, "id").withColumn("comp", F.col("id"))
-            last, order = False, F.col("rank")
-        else:
-            open_ = scratch.table(_open_buckets(buckets, labels), "open")
-            size = open_.count()
-            if not size:
-                break
-            last, order = turn > pivot_rounds or _cross_count(open_) <= 8 * size, F.xxhash64("id", F.lit(turn))
-        pairs = _cross_pairs(open_, reps) if last else _by_pivot(open_, order)
-        found = _links(pairs, reps, texts, id_type)
-        links = checkpointed(found if links is None else links.union(found))
-        if turn:
-            scratch.drop(open_)
-        if last:
+    buckets = scratch.table(_diagonal(halves), "buckets")
+    rank = scratch.table(buckets.groupBy("id").agg((-F.sum("c")).alias("rank")), "rank")
+    pairs = _by_pivot(buckets.join(rank, "id").withColumn("comp", F.col("id")), F.col("rank"))
+    links = checkpointed(_links(pairs, reps, texts, id_type))
+    scratch.drop(buckets, rank)
+    for turn in range(1, pivot_rounds + 2):
+        labels = checkpointed(components(links))
+        open_ = scratch.table(_open_halves(halves, labels), "open")
+        size = open_.count()
+        last = turn > pivot_rounds or (size > 0 and _cross_count(open_) <= 8 * size)
+        if size:
+            pairs = _cross_pairs(open_, reps) if last else _open_pivots(open_, turn)
+            links = checkpointed(links.union(_links(pairs, reps, texts, id_type)))
+        scratch.drop(open_)
+        if last or not size:
             break
-        labels = checkpointed(components(links, turns=1))  # enough to leave out most pairs
     labels = checkpointed(components(links))
 
     # equal sets share the smallest id of the group; a repeated id ties its texts together
