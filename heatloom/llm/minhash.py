@@ -160,18 +160,23 @@ def _by_pivot(buckets: DataFrame, order: F.Column) -> DataFrame:
 
 
 def _open_halves(halves: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(half, slot, id, n, comp, most)`` of the first collection's half keys that still hold several components, of members that
-    have such a half key in the second collection too; ``most`` is the component with most members.
+    """``halves`` of half keys that still hold several components, with the component of each member and that with most
+    members of the half key, ``most``. Components only grow, so a half key that is left out stays out."""
+    named = halves.select("half", "slot", "id", "n").join(labels, halves["id"] == labels["node"], "left").select(
+        "half", "slot", "id", "n", F.coalesce("root", "id").alias("comp"))
+    each = named.groupBy("half", "comp").agg(F.count(F.lit(1)).alias("c"))
+    several = each.groupBy("half").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return named.join(several.select("half", F.col("m.comp").alias("most")), "half")
+
+
+def _meeting(open_: DataFrame) -> DataFrame:
+    """Open half keys of the first collection, of members that have one in the second too.
 
     A pair meets in a table (i, j) only if it meets under both half keys, so the tables are never laid out: their members are
     found from 16 rows a set instead of 256.
     """
-    named = halves.join(labels, halves["id"] == labels["node"], "left").select("half", "slot", "id", "n", F.coalesce("root", "id").alias("comp"))
-    each = named.groupBy("half", "comp").agg(F.count(F.lit(1)).alias("c"))
-    several = each.groupBy("half").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    rows = named.join(several.select("half", F.col("m.comp").alias("most")), "half")
-    other = rows.filter(f"slot >= {HALVES}").select("id").distinct()
-    return rows.filter(f"slot < {HALVES}").join(other, "id", "left_semi")
+    other = open_.filter(f"slot >= {HALVES}").select("id").distinct()
+    return open_.filter(f"slot < {HALVES}").join(other, "id", "left_semi")
 
 
 def _strays(open_: DataFrame) -> DataFrame:
@@ -235,14 +240,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = checkpointed(_links(pairs, reps, texts, id_type))
     scratch.drop(buckets, rank)
     for turn in range(1, pivot_rounds + 2):
-        labels = checkpointed(components(links))
+        labels = checkpointed(components(links, turns=1))  # enough to leave out most pairs
         open_ = scratch.table(_open_halves(halves, labels), "open")
-        size = open_.count()
-        last = turn > pivot_rounds or (size > 0 and _cross_count(open_) <= 8 * size)
+        scratch.drop(halves)
+        halves = open_
+        rows_met = scratch.table(_meeting(open_), "meeting")
+        size = rows_met.count()
+        last = turn > pivot_rounds or (size > 0 and _cross_count(rows_met) <= 8 * size)
         if size:
-            pairs = _cross_pairs(open_, reps) if last else _open_pivots(open_, turn)
+            pairs = _cross_pairs(rows_met, reps) if last else _open_pivots(rows_met, turn)
             links = checkpointed(links.union(_links(pairs, reps, texts, id_type)))
-        scratch.drop(open_)
+        scratch.drop(rows_met)
         if last or not size:
             break
     labels = checkpointed(components(links))

@@ -323,13 +323,13 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                       F.coalesce("s", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("left", "sha").alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """All rows of ``docs`` with all their columns, repeated strings cut out of the text (in whole characters) and
+def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
+    """All rows of ``docs`` with all their columns, repeated strings of ``length`` bytes cut out of the text (in whole characters) and
     ``length_col``, where there is one, set to the new length. Texts without repeats stay as they are."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.xxhash64(text_col).alias("t1"),
                        F.xxhash64(F.lit(1), text_col).alias("t2"))
-    rows = rows.join(repeated(docs, text_col).select("t1", "t2", "kept_text"), ["t1", "t2"], "left")
+    rows = rows.join(repeated(docs, text_col, length).select("t1", "t2", "kept_text"), ["t1", "t2"], "left")
     old, changed = F.col("_row").getField, F.col("kept_text").isNotNull()
     new = {text_col: F.coalesce("kept_text", old(text_col))}
     if length_col in names:
