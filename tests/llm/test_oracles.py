@@ -35,6 +35,8 @@ def awkward_documents():
     passage = base[100:170]
     texts += [prose(30) + " " + " ".join(passage) + " " + prose(20), " ".join(passage[:50]), " ".join(passage[:49]), " ".join(passage[10:61])]
     texts += ["menu home\n" + prose(60) + "\nAll rights 2021\n" + prose(9) for _ in range(60)] + ["menu home\nAll rights 2022\n" * 30 + "only this"]
+    texts += ["head one\nhead two\nhead three\n" + prose(70) + "\nfoot one\nfoot two\nfoot three" for _ in range(25)]
+    texts += ["head one\nhead two\nhead three\n" * 20 + prose(8) + "\nfoot one\nfoot two\nfoot three" * 20]
     sources = [None, "", "s1", "s1", "s1", "s2"]
     rows = [(k * 3 + 1, t, "en", "s1" if k > 60 else sources[k % 6], k) for k, t in enumerate(texts)]
     return rows + rows[3:6] + [rows[22]]

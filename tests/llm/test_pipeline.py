@@ -26,19 +26,20 @@ def plain(path):
     kept = {r[0] for r in con.execute(f"SELECT doc_id FROM ({NEAR_SQL}) WHERE kept").fetchall()}
     texts = {d: t for d, t in rows if d in kept}
     raw = {d: t.encode() for d, t in texts.items()}
-    count = Counter(hashlib.md5(r[i:i + 400]).digest() for r in raw.values() for i in range(len(r) - 399))
+    n = corpus_pipeline.PASSAGE_BYTES
+    count = Counter(hashlib.md5(r[i:i + n]).digest() for r in raw.values() for i in range(len(r) - n + 1))
     out = {}
     for d, t in texts.items():
         r, gone = raw[d], bytearray(len(raw[d]))
-        for i in range(len(r) - 399):
-            if count[hashlib.md5(r[i:i + 400]).digest()] > 1:
-                gone[i:i + 400] = b"\1" * 400
+        for i in range(len(r) - n + 1):
+            if count[hashlib.md5(r[i:i + n]).digest()] > 1:
+                gone[i:i + n] = b"\1" * n
         left, at = [], 0
         for c in t:
-            n = len(c.encode())
-            if not all(gone[at:at + n]):
+            size = len(c.encode())
+            if not all(gone[at:at + size]):
                 left.append(c)
-            at += n
+            at += size
         out[d] = "".join(left)
     return out
 
