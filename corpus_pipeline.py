@@ -11,6 +11,10 @@ from heatloom.llm import bpe, bpe_queries, minhash, mixing, quality, repeats
 from heatloom.session import scratch_path, ship_package
 
 
+# Passages of 50 words: words of the corpus take five bytes at least, with the blank behind them, in any of its languages.
+PASSAGE_BYTES = 256
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines that are frequent on their host go from the others."""
     return quality.clean(docs)
@@ -22,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes and more that occur twice go from the texts."""
-    return repeats.without_repeats(docs)
+    """Strings of ``PASSAGE_BYTES`` bytes and more that occur twice go from the texts."""
+    return repeats.without_repeats(docs, length=PASSAGE_BYTES)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
