@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from heatloom.functions.text import ws_words
-from heatloom.operators import classify, clusters, terms, topics, weights
+from heatloom.operators import classify, clusters, kmeans, terms, topics, weights
 from heatloom.operators.lda import em_scores
 from heatloom.plans.feature_queries import NUMBERS_SQL, numbers
 from heatloom.plans.fixtures import TF_SQL, TOKENS_SQL, doc_words, texts
@@ -94,21 +95,73 @@ def lda_em_assign_steps(t: Tables):
     return placed.select("doc_id", "prediction", F.round("p", 6).alias("p"), F.round(F.array_min("distribution"), 6).alias("least"))
 
 
+def fitted_sizes(t: Tables, fitted: kmeans.KMeansFit):
+    rows = [(i, int(n), float(c)) for i, (n, c) in enumerate(zip(fitted.sizes, fitted.costs))]
+    return t.spark.createDataFrame(rows, "prediction int, cnt long, wssse double")
+
+
 @query("kmeans_fit")
 def kmeans_fit(t: Tables):
     features = clusters.hashed_tfidf(doc_words(t)).select("doc_id", "features")
-    return clusters.cluster_sizes(clusters.fit_kmeans(features), features)
+    return fitted_sizes(t, kmeans.fit_kmeans(features, clusters.K, clusters.MAX_ITER, id_col="doc_id"))
 
 
 @query("bisecting_fit")
 def bisecting_fit(t: Tables):
     features = clusters.hashed_tfidf(doc_words(t)).select("doc_id", "features")
-    return clusters.cluster_sizes(clusters.fit_kmeans(features, bisecting=True), features)
+    return fitted_sizes(t, kmeans.fit_bisecting(features, clusters.K, id_col="doc_id"))
+
+
+# Vectors by position, and the vectors whose ids have the smallest digests as starting centres.
+SEEDS, LLOYD_STEPS, LEAF_STEPS = 7, 4, 3
+POSITIONS_SQL = """e AS MATERIALIZED (SELECT vec_id, i AS pos, embedding[i]::DOUBLE AS x FROM embeddings,
+ unnest(range(1, len(embedding) + 1)) u(i))"""
+LLOYD_SQL = f"""WITH {POSITIONS_SQL}, s AS (SELECT vec_id, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS c
+ FROM embeddings), c0 AS MATERIALIZED (SELECT c, pos, x FROM s JOIN e USING (vec_id) WHERE c < {SEEDS})"""
+for _i in range(LLOYD_STEPS + 1):
+    LLOYD_SQL += f""", a{_i} AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, c,
+ sum((e.x - k.x) * (e.x - k.x)) AS d FROM e JOIN c{_i} k ON e.pos = k.pos GROUP BY vec_id, c) GROUP BY vec_id),
+ c{_i + 1} AS MATERIALIZED (SELECT k.c, k.pos, coalesce(m.x, k.x) AS x FROM c{_i} k LEFT JOIN (SELECT c, pos, avg(x) AS x
+ FROM a{_i} JOIN e USING (vec_id) GROUP BY c, pos) m ON k.c = m.c AND k.pos = m.pos)"""
+
+
+@query("kmeans_steps", f"""{LLOYD_SQL} SELECT vec_id, c::INTEGER AS prediction, round(d, 6) AS sq_dist FROM a{LLOYD_STEPS}""")
+def kmeans_steps(t: Tables):
+    """Four updates from given centres."""
+    rows = vectors(t).select("vec_id", "v")
+    first = rows.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(SEEDS).collect()
+    starts = np.array([r["v"] for r in first])
+    fitted = kmeans.fit_all(kmeans.prepared(rows, "v", "vec_id"), {0: starts}, LLOYD_STEPS, tolerance=-1.0)[0]
+    return kmeans.assign(rows, fitted, "v").select("vec_id", "prediction", F.round("sq_dist", 6).alias("sq_dist"))
+
+
+# Both children of each leaf start at its mean minus and plus half its deviation; ``g`` is the path from the root.
+BISECT_SQL = f"WITH {POSITIONS_SQL}, p0 AS (SELECT vec_id, '' AS g FROM embeddings)"
+for _i in (1, 2):
+    BISECT_SQL += f""", m{_i} AS MATERIALIZED (SELECT g, pos, avg(x) AS x, sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0)) AS s
+ FROM p{_i - 1} JOIN e USING (vec_id) GROUP BY g, pos), c{_i}_0 AS MATERIALIZED (SELECT g, b, pos, x + (b * 2 - 1) * 0.5 * s AS x
+ FROM m{_i}, range(0, 2) r(b))"""
+    for _j in range(LEAF_STEPS + 1):
+        BISECT_SQL += f""", a{_i}_{_j} AS MATERIALIZED (SELECT vec_id, g, arg_min(b, (d, b)) AS b, min(d) AS d FROM (SELECT e.vec_id, p.g,
+ k.b, sum((e.x - k.x) * (e.x - k.x)) AS d FROM p{_i - 1} p JOIN e ON p.vec_id = e.vec_id JOIN c{_i}_{_j} k ON k.g = p.g AND k.pos = e.pos
+ GROUP BY e.vec_id, p.g, k.b) GROUP BY vec_id, g), c{_i}_{_j + 1} AS MATERIALIZED (SELECT k.g, k.b, k.pos, coalesce(m.x, k.x) AS x
+ FROM c{_i}_{_j} k LEFT JOIN (SELECT g, b, pos, avg(x) AS x FROM a{_i}_{_j} JOIN e USING (vec_id) GROUP BY g, b, pos) m
+ ON k.g = m.g AND k.b = m.b AND k.pos = m.pos)"""
+    BISECT_SQL += f", p{_i} AS MATERIALIZED (SELECT vec_id, g || b::VARCHAR AS g, d FROM a{_i}_{LEAF_STEPS})"
+
+
+@query("bisecting_steps", f"""{BISECT_SQL} SELECT vec_id, (dense_rank() OVER (ORDER BY g) - 1)::INTEGER AS prediction,
+ round(d, 6) AS sq_dist FROM p2""")
+def bisecting_steps(t: Tables):
+    """Four leaves: two levels of the frontier, three updates each."""
+    rows = vectors(t).select("vec_id", "v")
+    fitted = kmeans.fit_bisecting(rows, 4, LEAF_STEPS, "v", "vec_id")
+    return kmeans.assign(rows, fitted, "v").select("vec_id", "prediction", F.round("sq_dist", 6).alias("sq_dist"))
 
 
 @query("kmeans_elbow")
 def kmeans_elbow(t: Tables):
-    return clusters.elbow(vectors(t).select(array_to_vector("v").alias("features")))
+    return clusters.elbow(vectors(t).select(F.col("v").alias("features")))
 
 
 @query("center_distance", f"SELECT vec_id, label, round(sq_dist, 6) AS sq_dist FROM ({CENTER_DIST_SQL})")
