@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -223,13 +222,6 @@ def predictions(models: dict, train: DataFrame, test: DataFrame) -> DataFrame:
     return out
 
 
-def scored_areas(fitted: DataFrame) -> dict[str, float]:
-    """PR and ROC areas from the raw scores of a fitted binary model."""
-    evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")
-    names = {"pr": "areaUnderPR", "roc": "areaUnderROC"}
-    return {m: evaluator.evaluate(fitted, {evaluator.metricName: full}) for m, full in names.items()}
-
-
 # A fit gives a function that adds predictions to a table.
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from heatloom.functions.text import ws_words
-from heatloom.operators import classify, clusters, kmeans, terms, topics, weights
+from heatloom.operators import classify, clusters, curves, kmeans, terms, topics, weights
 from heatloom.operators.lda import em_scores
 from heatloom.plans.feature_queries import NUMBERS_SQL, numbers
 from heatloom.plans.fixtures import TF_SQL, TOKENS_SQL, doc_words, texts
@@ -301,10 +301,37 @@ def decision_tree(t: Tables):
     return predicted(t, "decision_tree").select("doc_id", "label", "prediction")
 
 
-@query("auc_scored")
+# Two scorers of the same rows: the descended model and the plain number of characters.
+SCORED_SQL = f"""scored AS MATERIALIZED (SELECT 'descent' AS model, label, round(1 / (1 + exp(-(wa * a + wb * b))), 9) AS score
+ FROM z, w{STEPS} UNION ALL SELECT 'n_chars', label, n_chars FROM x),
+ ties AS (SELECT model, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM scored GROUP BY model, score),
+ curve AS MATERIALIZED (SELECT *, sum(pos) OVER up AS tp, sum(neg) OVER up AS fp, sum(pos) OVER (PARTITION BY model) AS p,
+ sum(neg) OVER (PARTITION BY model) AS n FROM ties WINDOW up AS (PARTITION BY model ORDER BY score DESC))"""
+
+
+def scored(t: Tables):
+    given = numbers(t)
+    scaled = classify.standardize(classify.assemble(given, ["n_chars", "n_words"]))
+    rows = scaled.select("label", "n_chars", vector_to_array("scaled").alias("features"))
+    model = classify.descend_logistic(rows, STEPS, tolerance=0.0)
+    guess = classify.predict_logistic(rows, model).select(F.lit("descent").alias("model"), "label", F.round("score", 9).alias("score"))
+    return guess.unionByName(rows.select(F.lit("n_chars").alias("model"), "label", F.col("n_chars").alias("score")))
+
+
+@query("auc_scored", f"""{GD_SQL}, {SCORED_SQL}, areas AS (SELECT model, sum(pos * (tp / (tp + fp)::DOUBLE + CASE WHEN tp + fp = pos + neg
+ THEN tp / (tp + fp)::DOUBLE ELSE (tp - pos) / (tp - pos + fp - neg)::DOUBLE END) / 2) / max(p) AS pr,
+ sum(neg * (2 * tp - pos) / 2.0::DOUBLE) / (max(p) * max(n)) AS roc FROM curve GROUP BY model)
+ SELECT model, 'pr' AS metric, round(pr, 6) AS "value" FROM areas UNION ALL SELECT model, 'roc', round(roc, 6) FROM areas""")
 def auc_scored(t: Tables):
-    areas = classify.scored_areas(predicted(t, "logistic_regression"))
-    return t.spark.createDataFrame(list(areas.items()), "metric string, value double")
+    areas = curves.scored_areas(scored(t)).unpivot("model", ["pr", "roc"], "metric", "value")
+    return areas.select("model", "metric", F.round("value", 6).alias("value"))
+
+
+@query("score_curve", f"""{GD_SQL}, {SCORED_SQL} SELECT model, round(score, 6) AS score, round(tp / p::DOUBLE, 6) AS recall,
+ round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(fp / n::DOUBLE, 6) AS fpr FROM curve""")
+def score_curve(t: Tables):
+    points = curves.curve_points(curves.score_curve(scored(t)))
+    return points.select("model", *[F.round(c, 6).alias(c) for c in ("score", "recall", "precision", "fpr")])
 
 
 @query("model_metrics")

@@ -16,7 +16,7 @@ def test_every_fit_is_listed():
     assert set(QUERIES) - set(ORACLES) == {
         "textrank_per_doc", "hashing_tf", "sample_docs", "word2vec", "hotword_synonyms", "lda_fit", "lda_topic_terms",
         "topic_intensity", "lda_assign", "lda_online_terms", "lda_sweep", "kmeans_fit", "bisecting_fit", "kmeans_elbow",
-        "logreg", "linear_svm", "decision_tree", "auc_scored", "model_metrics", "tuning_sweep", "holdout_sweep"}
+        "logreg", "linear_svm", "decision_tree", "model_metrics", "tuning_sweep", "holdout_sweep"}
 
 
 def test_lda(spark):
@@ -77,7 +77,6 @@ def test_classifiers_predict_every_row(spark, name):
 
 
 def test_metrics_are_shares(spark):
-    assert all(0 <= r["value"] <= 1 for r in rows(spark, "auc_scored"))
     found = rows(spark, "model_metrics")
     assert len(found) == 12 and all(r["value"] is None or 0 <= r["value"] <= 1 for r in found)
     assert len(rows(spark, "tuning_sweep")) == 26
