@@ -6,7 +6,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from heatloom.operators import classify, clusters, nearest, weights
+from heatloom.operators import classify, clusters, nearest, weights, wordvec
 from heatloom.operators.counts import explode_words
 from heatloom.plans.fixtures import TF_SQL, TFIDF_SQL, TOKENS_SQL, WORDS_SQL, doc_words, labelled_docs
 from heatloom.plans.graph_queries import hot_words
@@ -157,3 +157,34 @@ def hotword_synonyms(t: Tables):
     model = nearest.fit_word2vec(doc_words(t))
     docs = labelled_docs(t).select("prediction", ws_words(F.col("text")).alias("words"))
     return nearest.hotword_synonyms(hot_words(t), docs, model)
+
+
+# Pairs within the window, drawn terms, then two updates of four-wide vectors; ``u`` and ``v`` are the vectors by position.
+WIDE, NEAR, DRAWN, LEAST, VECTOR_STEPS = 4, 2, 2, 5, 2
+_VEC_HASH = "('0x' || substr(md5({}), 1, {}))::BIGINT"
+SKIPGRAM_SQL = f"""WITH tok AS MATERIALIZED ({TOKENS_SQL}), n AS (SELECT term, count(*) AS n FROM tok GROUP BY term HAVING count(*) >= {LEAST}),
+ voc AS MATERIALIZED (SELECT term, w, sum(w) OVER (ORDER BY term) - w AS id FROM (SELECT term, greatest(1, round(pow(n, 0.75)))::BIGINT AS w FROM n)),
+ pair AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS n FROM tok l JOIN range(1, {NEAR + 1}) r(d) ON true JOIN tok k
+ ON l.doc_id = k.doc_id AND k.pos = l.pos + d JOIN voc x ON x.term = l.term JOIN voc y ON y.term = k.term GROUP BY x.id, y.id),
+ both_ways AS MATERIALIZED (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM pair UNION ALL SELECT b, a, n FROM pair) GROUP BY a, b),
+ slot AS (SELECT id, id + unnest(range(0, w)) AS slot FROM voc),
+ ex AS MATERIALIZED (SELECT a, b, label, sum(n)::DOUBLE AS n FROM (SELECT a, b, 1 AS label, n FROM both_ways UNION ALL
+ SELECT p.a, s.id, 0, p.n FROM (SELECT *, {_VEC_HASH.format("a || ':' || b || ':' || j", 15)} % (SELECT sum(w) FROM voc)::BIGINT AS slot
+ FROM both_ways, range(1, {DRAWN + 1}) g(j)) p JOIN slot s ON s.slot = p.slot WHERE s.id <> p.b) GROUP BY a, b, label),
+ u0 AS (SELECT id, i, ({_VEC_HASH.format("term || ':' || i", 8)} / 4294967296.0::DOUBLE - 0.5) / {WIDE} AS x FROM voc, range(1, {WIDE + 1}) r(i)),
+ v0 AS (SELECT id, i, 0.0::DOUBLE AS x FROM u0)"""
+for _i in range(VECTOR_STEPS):
+    SKIPGRAM_SQL += f""", g{_i} AS MATERIALIZED (SELECT a, b, any_value(ex.n) AS n, label, any_value(ex.n) * (label - 1 / (1 + exp(-sum(u.x * v.x)))) AS g
+ FROM ex JOIN u{_i} u ON u.id = a JOIN v{_i} v ON v.id = b AND v.i = u.i GROUP BY a, b, label),
+ u{_i + 1} AS MATERIALIZED (SELECT u.id, u.i, u.x + coalesce(d.x, 0) * {wordvec.RATE * (1 - _i / VECTOR_STEPS)}::DOUBLE AS x FROM u{_i} u LEFT JOIN (SELECT a AS id, v.i, sum(g * v.x) / sum(n) AS x
+ FROM g{_i} JOIN v{_i} v ON v.id = b GROUP BY a, v.i) d ON u.id = d.id AND u.i = d.i),
+ v{_i + 1} AS MATERIALIZED (SELECT v.id, v.i, v.x + coalesce(d.x, 0) * {wordvec.RATE * (1 - _i / VECTOR_STEPS)}::DOUBLE AS x FROM v{_i} v LEFT JOIN (SELECT b AS id, u.i, sum(g * u.x) / sum(n) AS x
+ FROM g{_i} JOIN u{_i} u ON u.id = a GROUP BY b, u.i) d ON v.id = d.id AND v.i = d.i)"""
+
+
+@query("word2vec_steps", f"""{SKIPGRAM_SQL} SELECT term, i::INTEGER AS pos, round(x, 6) AS x FROM u{VECTOR_STEPS} u JOIN voc ON u.id = voc.id""")
+def word2vec_steps(t: Tables):
+    """Two updates of the vectors of all words that stand five times."""
+    fitted = wordvec.fit_word_vectors(doc_words(t), WIDE, NEAR, DRAWN, LEAST, VECTOR_STEPS, shards=3)
+    cells = fitted.table().select("term", F.posexplode("v").alias("pos", "x"))
+    return cells.select("term", (F.col("pos") + 1).alias("pos"), F.round("x", 6).alias("x"))
