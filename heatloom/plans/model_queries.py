@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from heatloom.functions.text import ws_words
-from heatloom.operators import classify, clusters, curves, kmeans, terms, topics, weights
+from heatloom.operators import classify, clusters, curves, kmeans, terms, topics, tree, weights
 from heatloom.operators.lda import em_scores
 from heatloom.plans.feature_queries import NUMBERS_SQL, numbers
 from heatloom.plans.fixtures import TF_SQL, TOKENS_SQL, doc_words, texts
@@ -301,6 +301,54 @@ def decision_tree(t: Tables):
     return predicted(t, "decision_tree").select("doc_id", "label", "prediction")
 
 
+# Each level divides its open nodes by the largest fall of entropy over 32 even bins of each feature.
+TREE_BINS = tree.BINS
+ENTROPY_SQL = "CASE WHEN {p} = 0 OR {p} = {n} THEN 0.0::DOUBLE ELSE -({p} / {n}::DOUBLE * log2({p} / {n}::DOUBLE) + (1 - {p} / {n}::DOUBLE) * log2(1 - {p} / {n}::DOUBLE)) END"
+TREE_SQL = f"""WITH x AS MATERIALIZED ({NUMBERS_SQL}), long AS MATERIALIZED (SELECT doc_id, label, 0 AS feature, n_chars AS v FROM x UNION ALL
+ SELECT doc_id, label, 1, n_words FROM x UNION ALL SELECT doc_id, label, 2, n_chars / (n_words + 1) FROM x),
+ ends AS (SELECT feature, min(v) AS a, max(v) AS b FROM long GROUP BY feature),
+ edge AS MATERIALIZED (SELECT feature, j - 1 AS bin, a + (b - a) * j / {TREE_BINS} AS e FROM ends, range(1, {TREE_BINS}) r(j) WHERE b > a),
+ bins AS MATERIALIZED (SELECT doc_id, any_value(label) AS label, l.feature, count(*) FILTER (e < v) AS bin FROM long l
+ LEFT JOIN edge ON l.feature = edge.feature GROUP BY doc_id, l.feature), at0 AS (SELECT doc_id, 1 AS node FROM x)"""
+for _i in range(tree.MAX_DEPTH):
+    TREE_SQL += f""", h{_i} AS (SELECT node, feature, bin, count(*) AS c, sum(label) AS s FROM at{_i} JOIN bins USING (doc_id) GROUP BY node, feature, bin),
+ w{_i} AS (SELECT node, feature, bin, sum(c) OVER up AS ln, sum(s) OVER up AS lp, sum(c) OVER (PARTITION BY node, feature) AS n,
+ sum(s) OVER (PARTITION BY node, feature) AS pos FROM h{_i} WINDOW up AS (PARTITION BY node, feature ORDER BY bin)),
+ g{_i} AS (SELECT *, round({ENTROPY_SQL.format(p='pos', n='n')} - ln / n::DOUBLE * {ENTROPY_SQL.format(p='lp', n='ln')}
+ - (n - ln) / n::DOUBLE * {ENTROPY_SQL.format(p='(pos - lp)', n='(n - ln)')}, 9) AS gain FROM w{_i} WHERE ln < n),
+ s{_i} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin) AS r FROM g{_i} WHERE gain > 0) WHERE r = 1),
+ at{_i + 1} AS MATERIALIZED (SELECT o.doc_id, o.node * 2 + (b.bin > s.bin)::INT AS node FROM at{_i} o JOIN s{_i} s ON o.node = s.node
+ JOIN bins b ON b.doc_id = o.doc_id AND b.feature = s.feature)"""
+_INNER_SQL = " UNION ALL ".join(f"SELECT node, n, pos, feature, bin FROM s{_i}" for _i in range(tree.MAX_DEPTH))
+_SEEN_SQL = " UNION ALL ".join(f"SELECT doc_id, node, {_i} AS level FROM at{_i}" for _i in range(tree.MAX_DEPTH + 1))
+
+
+def measured(t: Tables):
+    """Three numbers of each labelled page as ``features``."""
+    ratio = F.col("n_chars") / (F.col("n_words") + 1)
+    return numbers(t).select("doc_id", "label", F.array("n_chars", "n_words", ratio).alias("features"))
+
+
+def grown(rows):
+    return tree.fit_tree(rows, tree.even_edges(rows))
+
+
+@query("tree_splits", f"""{TREE_SQL} SELECT i.node::BIGINT AS node, n::BIGINT AS n, pos::BIGINT AS pos, i.feature::INTEGER AS feature,
+ round(e, 6) AS threshold FROM ({_INNER_SQL}) i JOIN edge ON edge.feature = i.feature AND edge.bin = i.bin""")
+def tree_splits(t: Tables):
+    """The inner nodes of a tree of depth 5."""
+    nodes = grown(measured(t)).table(t.spark).filter("feature IS NOT NULL")
+    return nodes.select("node", "n", "pos", "feature", F.round("threshold", 6).alias("threshold"))
+
+
+@query("tree_predictions", f"""{TREE_SQL}, leaf AS (SELECT doc_id, arg_max(node, level) AS node FROM ({_SEEN_SQL}) GROUP BY doc_id)
+ SELECT doc_id, label, node::BIGINT AS node, round(avg(label) OVER (PARTITION BY node), 6) AS p,
+ (sum(label) OVER (PARTITION BY node) * 2 > count(*) OVER (PARTITION BY node))::INTEGER AS prediction FROM leaf JOIN x USING (doc_id)""")
+def tree_predictions(t: Tables):
+    rows = measured(t)
+    return grown(rows).predict(rows).select("doc_id", "label", "node", F.round("p", 6).alias("p"), "prediction")
+
+
 # Two scorers of the same rows: the descended model and the plain number of characters.
 SCORED_SQL = f"""scored AS MATERIALIZED (SELECT 'descent' AS model, label, round(1 / (1 + exp(-(wa * a + wb * b))), 9) AS score
  FROM z, w{STEPS} UNION ALL SELECT 'n_chars', label, n_chars FROM x),
