@@ -291,11 +291,14 @@ def repeated(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot:
 
 def _counted(strips: DataFrame) -> DataFrame:
     """Runs of repeated windows of hot anchors: strips found twice, and windows of the others found twice."""
-    counts = strips.groupBy("key", "k2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("t1", "t2", "a")).alias("one"))
-    rows = strips.join(counts, ["key", "k2"])
-    whole = rows.filter("c > 1").select("t1", "t2", "a", (F.col("a") + F.col("n")).alias("b"))
-    single = rows.filter(F.col("one") == F.struct("t1", "t2", "a")).select(
-        "t1", "t2", "a", (F.col("c") == 1).alias("alone"), F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    number = F.count(F.lit(1)).alias("c")
+    again = strips.groupBy("key", "k2").agg(number).filter("c > 1").select("key", "k2")
+    whole = strips.select("key", "k2", "t1", "t2", "a", "n").join(again, ["key", "k2"])
+    whole = whole.select("t1", "t2", "a", (F.col("a") + F.col("n")).alias("b"))
+    # one strip of each kind, with its windows, comes out of the grouping itself
+    first = strips.groupBy("key", "k2").agg(number, F.min(F.struct("t1", "t2", "a", "w1", "w2")).alias("one"))
+    single = first.select("one.t1", "one.t2", "one.a", (F.col("c") == 1).alias("alone"),
+                          F.posexplode(F.arrays_zip("one.w1", "one.w2")).alias("i", "w"))
     single = single.select("t1", "t2", (F.col("a") + F.col("i")).alias("a"), "alone", F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
     twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
     hits = single.filter("alone").join(twice, ["w1", "w2"]).select("t1", "t2", "a", (F.col("a") + 1).alias("b"))
