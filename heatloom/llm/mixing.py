@@ -2,9 +2,10 @@
 
 Each source is cut into blocks of ``block_docs`` documents in a pseudo-random order. A source of weight w is a task
 whose i-th block may go out no sooner than floor((i - 1) / w) slots after the start and must go out by ceil(i / w).
-Earliest deadline first over the released blocks meets all these windows, so after any number of slots every source is
-less than one block away from its target share. Weights are whole numbers of blocks per period, so the schedule
-repeats after a period: it is one table of as many rows as the period has slots, whatever the size of the corpus.
+Weights are rounded to whole numbers of blocks per period, one at least, so the schedule repeats after a period: it is one
+table of as many rows as the period has slots, whatever the size of the corpus. Earliest deadline first over the released
+blocks meets all windows of the rounded weights, so after any number of slots every source is less than one block away from
+its rounded share. From the share that was asked for it drifts by the rounding; a longer period lowers that.
 
 When a source has no more blocks its slots stay empty and the others go on: nothing is dropped or repeated.
 """
