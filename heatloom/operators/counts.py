@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +36,19 @@ def counts_in_row(words: Column) -> Column:
     return F.aggregate(F.array(F.sort_array(words)), F.array().cast("array<struct<term:string,tf:bigint>>"), lambda _, s: runs(s))
 
 
+def counted(row: np.ndarray, words: pa.Array, use=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, number of the word and count of each distinct word of each row, and the words; ``use`` tells which of these count."""
+    coded = words.dictionary_encode()
+    names = coded.dictionary
+    codes = pc.fill_null(coded.indices.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+    fits = codes >= 0
+    if use is not None and len(names):
+        fits &= use(names)[codes]
+    n = max(1, len(names))
+    cell, count = np.unique(row[fits] * n + codes[fits], return_counts=True)
+    return cell // n, cell % n, count.astype(np.int64), names
+
+
 def rare_terms(terms: DataFrame, min_count: int = 2) -> DataFrame:
     """Terms seen fewer than ``min_count`` times."""
     return count_by(terms, "term").filter(F.col("cnt") < min_count)
