@@ -13,6 +13,7 @@ from heatloom.plans.feature_queries import NUMBERS_SQL, numbers
 from heatloom.plans.fixtures import TF_SQL, TOKENS_SQL, doc_words, texts
 from heatloom.plans.registry import Tables, query
 from heatloom.plans.row_queries import CENTER_DIST_SQL, CENTERS_SQL, STOPWORDS_SQL, WEIGHTED_F1_SQL, vectors
+from heatloom.session import checkpoint_root
 
 # Iterations of the registered model fits.
 EM_ITER = topics.MAX_ITER
@@ -324,9 +325,10 @@ _SEEN_SQL = " UNION ALL ".join(f"SELECT doc_id, node, {_i} AS level FROM at{_i}"
 
 
 def measured(t: Tables):
-    """Three numbers of each labelled page as ``features``."""
+    """Three numbers of each labelled page as ``features``; the texts are read once for all passes over them."""
     ratio = F.col("n_chars") / (F.col("n_words") + 1)
-    return numbers(t).select("doc_id", "label", F.array("n_chars", "n_words", ratio).alias("features"))
+    checkpoint_root(t.spark)
+    return numbers(t).select("doc_id", "label", F.array("n_chars", "n_words", ratio).alias("features")).checkpoint()
 
 
 def grown(rows):
