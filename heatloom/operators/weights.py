@@ -6,14 +6,24 @@ machine and every index leads back to its word.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heatloom.functions.unnest import unnest, unnest_structs
-from heatloom.operators.counts import count_by, counts_in_row, top_by_group
+from heatloom.operators.counts import count_by, counted, counts_in_row, top_by_group
 from heatloom.operators.order import zip_index
+from heatloom.session import scratch_path
 
 SCORE_DIGITS = 9
+# Words whose different terms are looked up together.
+BLOCK_WORDS = 2_000_000
 
 
 def idf(n_docs, df) -> Column:
@@ -37,19 +47,88 @@ def vocabulary(terms: DataFrame) -> DataFrame:
     return zip_index(count_by(terms, "term"), [F.col("cnt").desc(), F.col("term")], "term_id")
 
 
-def attach_idf(tf: DataFrame, docs: DataFrame, n_docs: int | None = None) -> DataFrame:
-    """Add ``tfidf`` to term frequencies, with document counts taken from ``docs``.
+def term_blocks(docs: DataFrame, keep: list[str] = ("doc_id",), words: str = "words") -> DataFrame:
+    """Rows of ``docs`` in blocks of about ``BLOCK_WORDS`` words, written once as two steps read them.
 
-    The join is left to adaptive execution: it broadcasts the term table only when its measured
-    size is small, and otherwise splits the partitions that frequent terms make large.
+    A row has its ``_block``, the ``keep`` columns, numbers of its terms and their counts, as bytes; one more row of each block has the
+    block's different terms, at the place of their number, and in how many rows of the block they are.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(words).alias("_words"))
+    schema = T.StructType([T.StructField("_block", T.LongType()), *[T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]],
+                           *[T.StructField(c, T.BinaryType()) for c in ("_codes", "_tfs")],
+                           T.StructField("_rows", T.ArrayType(T.IntegerType())), T.StructField("_terms", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(len(keep))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, lo, done = np.cumsum(sizes), 0, 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(ends, done + BLOCK_WORDS, side="right")))
+                part = batch.slice(lo, hi - lo)
+                row, code, tf, terms = counted(np.repeat(np.arange(len(part)), sizes[lo:hi]), part.column(len(keep)).flatten())
+                at = np.searchsorted(row, np.arange(len(part) + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), block)), *part.columns[:-1], _as_bytes(at, code, np.int32), _as_bytes(at, tf, np.int32),
+                     pa.nulls(len(part), pa.list_(pa.int32())), pa.nulls(len(part), pa.list_(pa.string()))], names=schema.names)
+                if len(terms):
+                    whole, number = pa.array([0, len(terms)], pa.int32()), np.bincount(code, minlength=len(terms))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block]), *[pa.nulls(1, c.type) for c in [*part.columns[:-1], pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())]],
+                         pa.ListArray.from_arrays(whole, pa.array(number.astype(np.int32))), pa.ListArray.from_arrays(whole, terms)], names=schema.names)
+                block, lo, done = block + 1, hi, int(ends[hi - 1])
+
+    path = scratch_path(spark, "term-blocks")
+    rows.mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path).withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
+
+
+def _as_bytes(at: np.ndarray, values: np.ndarray, kind: type) -> pa.Array:
+    """The values from ``at[i]`` up to ``at[i + 1]`` as the bytes of row ``i``."""
+    values = np.ascontiguousarray(values, kind)
+    ends = (np.asarray(at) * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
+def _from_bytes(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Number of values of each row, and the values of all rows."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, kind)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    item, n = np.dtype(kind).itemsize, int(ends[-1] - ends[0])
+    values = np.frombuffer(data, kind, n // item, int(ends[0])) if n else np.zeros(0, kind)
+    return np.diff(ends) // item, values
+
+
+def attach_idf(blocks: DataFrame, n_docs: int | None = None) -> DataFrame:
+    """``term``, the columns of the rows of ``term_blocks``, ``tf`` and ``tfidf``.
+
+    Only the different terms of each block are shuffled: to their term, which sums the document counts of all blocks, and
+    with the IDF back to the block.
     """
-    n_docs = docs.count() if n_docs is None else n_docs
-    joined = tf.join(document_frequency(docs), "term")
-    return joined.withColumn("tfidf", F.col("tf") * idf(n_docs, "df")).drop("df")
+    rows = blocks.filter("_terms IS NULL").drop("_rows", "_terms")
+    n_docs = rows.count() if n_docs is None else n_docs
+    terms = blocks.filter("_terms IS NOT NULL").select("_block", F.posexplode(F.arrays_zip("_terms", "_rows")).alias("_code", "x"))
+    terms = terms.select("_block", "_code", F.col("x._terms").alias("term"), F.sum("x._rows").over(Window.partitionBy("x._terms")).alias("df"))
+    terms = terms.select("_block", "_code", "term", idf(n_docs, "df").alias("idf"))
+    keep = rows.drop("_block", "_codes", "_tfs").schema.fields
+    schema = T.StructType([T.StructField("term", T.StringType()), *keep, T.StructField("tf", T.LongType()), T.StructField("tfidf", T.DoubleType())])
+
+    def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
+        place = np.argsort(right.column("_code").to_numpy())
+        names, scale = right.column("term").combine_chunks().take(pa.array(place)), right.column("idf").to_numpy()[place]
+        (sizes, code), (_, tf) = (_from_bytes(left.column(c).combine_chunks(), np.int32) for c in ("_codes", "_tfs"))
+        row = pa.array(np.repeat(np.arange(len(left)), sizes))
+        return pa.Table.from_arrays([names.take(pa.array(code)), *[left.column(f.name).combine_chunks().take(row) for f in keep],
+                                     pa.array(tf.astype(np.int64)), pa.array(tf * scale[code])], names=schema.names)
+
+    return rows.groupBy("_block").cogroup(terms.groupBy("_block")).applyInArrow(weigh, schema)
 
 
 def tfidf(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
-    return attach_idf(term_frequency(docs, keep), docs)
+    return attach_idf(term_blocks(docs, keep))
 
 
 def group_tfidf(docs: DataFrame, by: str, doc: str = "doc_id") -> DataFrame:
@@ -68,7 +147,36 @@ def best_first(score: str) -> list[Column]:
 
 def top_terms(weights: DataFrame, n: int, score: str = "tfidf", by: list[str] = ("doc_id",)) -> DataFrame:
     """The ``n`` heaviest terms of each document; fewer when it has fewer distinct terms."""
-    return top_by_group(weights, list(by), best_first(score), n)
+    return top_by_group(_leading(weights, n, score, list(by)), list(by), best_first(score), n)
+
+
+def _leading(weights: DataFrame, n: int, score: str, by: list[str]) -> DataFrame:
+    """``weights`` without rows that ``n`` neighbours of the same document clearly surpass, so that few rows are sorted."""
+    schema = weights.schema
+    near = 2 * 10.0 ** -SCORE_DIGITS  # scores as close as this may be equal once rounded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = batch.column(schema.names.index(score)).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+            run_of = np.cumsum(_changes([batch.column(schema.names.index(c)) for c in by], len(batch))) - 1
+            known = np.flatnonzero(~np.isnan(value))
+            order = known[np.lexsort((-value[known], run_of[known]))]
+            place = np.arange(len(order)) - np.searchsorted(run_of[order], run_of[order])
+            least = np.full(len(batch), -np.inf)
+            at = order[place == n - 1]
+            least[run_of[at]] = value[at] - near - 1e-12 * np.abs(value[at])
+            yield batch.filter(pa.array(~(value < least[run_of])))
+
+    return weights.mapInArrow(run, schema)
+
+
+def _changes(columns: list[pa.Array], n: int) -> np.ndarray:
+    """True for each row that differs from the one before it; null differs from all."""
+    new = np.ones(n, bool)
+    if n > 1:
+        pairs = (pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True) for c in columns)
+        new[1:] = np.any([p.to_numpy(zero_copy_only=False) for p in pairs], axis=0)
+    return new
 
 
 def joined_terms(ranked: DataFrame, by: list[str]) -> DataFrame:
