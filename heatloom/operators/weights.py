@@ -24,6 +24,9 @@ from heatloom.session import scratch_path
 SCORE_DIGITS = 9
 # Words whose different terms are looked up together.
 BLOCK_WORDS = 2_000_000
+# Pairs of documents compared at once.
+PAIRS_AT_ONCE = 256
+PART = T.StructType([T.StructField(c, T.BinaryType()) for c in ("names", "sizes", "w")])
 
 
 def idf(n_docs, df) -> Column:
@@ -186,19 +189,64 @@ def joined_terms(ranked: DataFrame, by: list[str]) -> DataFrame:
 
 
 def cosine_pairs(weights: DataFrame, pairs: DataFrame, score: str = "tfidf") -> DataFrame:
-    """Cosine of the two documents of each ``(left_id, right_id)`` row.
+    """Cosine of the two documents of each ``(left_id, right_id)`` row, where one of them has terms.
 
-    Both sides of a pair meet per term in one aggregation, which also gives the norms.
+    The terms of a document travel as one row: once to the document and once, as the left side, to the right one.
     """
-    sides = F.array(F.struct(F.col("left_id").alias("doc_id"), F.lit(1.0).alias("l"), F.lit(0.0).alias("r")),
-                    F.struct(F.col("right_id").alias("doc_id"), F.lit(0.0).alias("l"), F.lit(1.0).alias("r")))
-    members = pairs.select("left_id", "right_id", F.inline(sides))
-    w = F.col(score)
-    terms = weights.join(members, "doc_id").groupBy("left_id", "right_id", "term").agg(
-        F.sum(w * F.col("l")).alias("wl"), F.sum(w * F.col("r")).alias("wr"))
-    dot, norm_l, norm_r = (F.sum(F.col(x) * F.col(y)) for x, y in (("wl", "wr"), ("wl", "wl"), ("wr", "wr")))
-    cosine = F.try_divide(dot, F.sqrt(norm_l) * F.sqrt(norm_r))
-    return terms.groupBy("left_id", "right_id").agg(cosine.alias("cosine"))
+    vectors = _packed(weights, score).groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
+    left, right = (vectors.select(F.col("doc_id").alias(f"{side}_id"), F.col("parts").alias(side)) for side in ("left", "right"))
+    met = pairs.select("left_id", "right_id").distinct().join(left, "left_id", "left").join(right, "right_id", "left")
+    met = met.filter("left IS NOT NULL OR right IS NOT NULL").select("left_id", "right_id", "left", "right")
+    schema = T.StructType([*met.schema.fields[:2], T.StructField("cosine", T.DoubleType())])
+    return met.mapInArrow(_cosines, schema)
+
+
+def _packed(weights: DataFrame, score: str) -> DataFrame:
+    """``doc_id`` and ``part``, the terms of neighbouring rows of a document: their bytes, and their sizes and weights as bytes. A document has one row or more."""
+    schema = T.StructType([weights.schema["doc_id"], T.StructField("part", PART)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, terms, n = batch.column(0), batch.column(1).cast(pa.large_binary()), len(batch)
+            starts = np.flatnonzero(_changes([ids], n))
+            at = np.append(starts, n)
+            ends = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset:terms.offset + n + 1]
+            data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+            part = pa.StructArray.from_arrays([_as_bytes(ends[at] - ends[0], data, np.uint8), _as_bytes(at, np.diff(ends), np.int32),
+                                               _as_bytes(at, batch.column(2).to_numpy(zero_copy_only=False), np.float64)], names=PART.names)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), part], names=["doc_id", "part"])
+
+    return weights.select("doc_id", "term", F.col(score).cast("double").alias("w")).mapInArrow(run, schema)
+
+
+def _unpacked(parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, size and weight of each term of ``parts``, and the bytes of all terms."""
+    counts = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+    flat = parts.flatten()
+    (_, raw), (n, sizes), (_, w) = (_from_bytes(flat.field(c), kind) for c, kind in (("names", np.uint8), ("sizes", np.int32), ("w", np.float64)))
+    return np.repeat(np.repeat(np.arange(len(parts)), counts), n), sizes, w, raw
+
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cosine of the parts of two documents in each row; null where a side has no length."""
+    for batch in batches:
+        for lo in range(0, len(batch), PAIRS_AT_ONCE):
+            part = batch.slice(lo, PAIRS_AT_ONCE)
+            n = len(part)
+            (lrow, lsize, lw, lraw), (rrow, rsize, rw, rraw) = _unpacked(part.column(2)), _unpacked(part.column(3))
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([lsize, rsize]), dtype=np.int64)])
+            raw = np.concatenate([lraw, rraw])
+            terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            code = terms.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            cell, back = np.unique(np.concatenate([lrow, rrow]) * (len(code) + 1) + code, return_inverse=True)
+            left = np.bincount(back[:len(lrow)], lw, len(cell))
+            right = np.bincount(back[len(lrow):], rw, len(cell))
+            row = cell // (len(code) + 1)
+            dot, norm_l, norm_r = (np.bincount(row, v, n) for v in (left * right, left * left, right * right))
+            length = np.sqrt(norm_l) * np.sqrt(norm_r)
+            cosine = np.divide(dot, length, out=np.zeros(n), where=length != 0)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cosine, mask=length == 0)],
+                                             names=["left_id", "right_id", "cosine"])
 
 
 def listed_idf(docs: DataFrame, terms: list[str], words: str = "words") -> DataFrame:
